@@ -8,6 +8,7 @@ import re
 import sys
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +16,21 @@ from pyspark.sql import functions as F
 #: Pieces whose ids a Python worker remembers before it starts anew.
 CACHE_PIECES = 250_000
 
-_NEAR_SPACE = re.compile(r"\s | \s")
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Latin letters and then marks to the end of a piece: always two parts of the byte-level pattern.
-_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*#$%&]+)")
+#: Spaces and line ends beside other white space; a text without them is cut at each of its spaces and line ends.
+_BESIDE = re.compile(r"\s[ \n]|[ \n]\s")
+_LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
+_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Latin letters, and then marks to the end of a piece: always one part of the byte-level pattern, or two.
+_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*#$%&]*)")
 
 
 def pieces_are_safe(spec: dict) -> bool:
-    """Whether a tokenizer's ids of a text are those of its pieces cut before single spaces.
+    """Whether a tokenizer's ids of a text are those of its pieces cut at single spaces and line ends.
 
-    The byte-level pattern only joins a space to what follows it, so no token
-    crosses a space between two other characters; normalizers, post-processors
-    or special tokens with white space could break that.
+    The byte-level pattern only joins a space to what follows it, and a line end
+    between two other characters is a part of its own, so no token crosses
+    either; normalizers, post-processors or special tokens with white space
+    could break that.
     """
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
     return (
@@ -49,16 +53,25 @@ class Pieces:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def missing(self, pieces: set[str]) -> list[str]:
-        """The pieces that are not remembered; the others are in ``new`` afterwards."""
+    def age(self) -> None:
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """The pieces that are not remembered; the others are in ``new`` afterwards."""
         wanted = pieces.difference(self.new)
         kept = wanted & self.old.keys()
         self.new.update((p, self.old[p]) for p in kept)
         return list(wanted - kept)
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies use for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of texts as raw little-endian bytes, ``width`` bytes an id; the same ids as ``Tokenizer.encode``."""
 
@@ -73,9 +86,15 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
         self.code = "H" if self.width == 2 else "I"
-        self.safe = pieces_are_safe(json.loads(spec))
         self.first = Pieces("", cache_pieces)
         self.rest = Pieces(" ", cache_pieces)
+        spec = json.loads(spec)
+        self.safe = pieces_are_safe(spec)
+        if self.safe:
+            # the same model over words that are one part of the byte-level pattern each, a line a word
+            lines = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
+            self.words = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": lines, "decoder": None, "added_tokens": []}))
+            self.letters = {b: c for b, c in byte_letters().items() if b != 0x0A}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         ids = [array(self.code, e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -84,35 +103,57 @@ class Encoder:
                 a.byteswap()
         return [a.tobytes() for a in ids]
 
+    def _raw_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters, with or without a space before."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            lines = "\n".join(some).encode().decode("latin-1").translate(self.letters)
+            done = self.words.encode(lines, add_special_tokens=False)
+            raw = np.array(done.ids, self.dtype).tobytes()
+            ends = np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(some)), "right") * self.width
+            start = 0
+            for end in ends.tolist():
+                out.append(raw[start:end])
+                start = end
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.safe:
             return [self._raw([t])[0] for t in texts]
-        cut = [_SAFE_SPACE.split(t) if _NEAR_SPACE.search(t) else t.split(" ") for t in texts]
         out = []
-        for at in range(0, len(cut), 64):
-            part = cut[at : at + 64]
-            self._learn(self.first, {p[0] for p in part})
-            self._learn(self.rest, set().union(*[p[1:] for p in part]))
+        for at in range(0, len(texts), 64):
+            part = [self._cut(t) for t in texts[at : at + 64]]
+            self.first.age()
+            self.rest.age()
+            self._learn(self.first, {line[0] for lines in part for line in lines} | {"\n"})
+            self._learn(self.rest, set().union(*[line[1:] for lines in part for line in lines]))
             first, rest = self.first.new, self.rest.new.__getitem__
-            out += [first[p[0]] + b"".join(map(rest, p[1:])) for p in part]
+            end = first["\n"]
+            out += [end.join([first[line[0]] + b"".join(map(rest, line[1:])) for line in lines]) for lines in part]
         return out
 
+    @staticmethod
+    def _cut(text: str) -> list[list[str]]:
+        """Lines of pieces; each piece but a line's first has a space before it."""
+        if _BESIDE.search(text):
+            return [_SPACE.split(line) for line in _LINE_END.split(text)]
+        return [line.split(" ") for line in text.split("\n")]
+
     def _learn(self, pieces: Pieces, wanted: set[str]) -> None:
         """Puts the ids of all wanted pieces into ``pieces.new``; marks after a word are looked up apart from it."""
         missing = pieces.missing(wanted)
         if not missing:
             return
         ended = {p: m.groups() for p in missing if (m := _WORD_AND_MARKS.fullmatch(p))}
-        words = pieces.missing({word for word, _ in ended.values()} | {p for p in missing if p not in ended})
-        pieces.new.update(zip(words, self._raw([pieces.before + w for w in words])))
-        marks = list({marks for _, marks in ended.values()})
-        ids = dict(zip(marks, self._raw(marks)))
+        words = pieces.missing({word for word, _ in ended.values()})
+        others = [p for p in missing if p not in ended]
+        marks = list({marks for _, marks in ended.values()} - {""})
+        before = pieces.before
+        pieces.new.update(zip(words, self._raw_words([before + w for w in words])))
+        pieces.new.update(zip(others, self._raw([before + p for p in others])))
+        ids = dict(zip(marks, self._raw(marks))) | {"": b""}
         known = pieces.new
-        if not all(word in known for word, _ in ended.values()) or not wanted.difference(ended).issubset(known):
-            # the generations changed in between
-            rest = list(wanted - known.keys())
-            known.update(zip(rest, self._raw([pieces.before + w for w in rest])))
-            return
         known.update((p, known[word] + ids[m]) for p, (word, m) in ended.items())
 
 

@@ -5,9 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillframe.llm import decontam, simhash
-from quillframe.llm.common import table
+from quillframe.llm import decontam, simhash, tokenfile
+from quillframe.llm.common import Workspace, table
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Workspace(spark, 'tokens').path}/store"
+    tokenfile.write_store(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
+    rows = tokenfile.stored_documents(spark, path)
+    return rows.select(F.col("key").cast("long").alias("doc_id"), "start", "n_tokens", "ids_crc32", "indexed")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +33,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_decontaminate": op6_decontaminate, "op8_simhash": op8_simhash}
+    return {"op3_token_file": op3_token_file, "op6_decontaminate": op6_decontaminate, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
