@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import decontam, simhash, tokenfile
+from quillframe.llm import decontam, langid, simhash, tokenfile
 from quillframe.llm.common import Workspace, table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.evaluate(table(spark, sf_dir, "documents"), Workspace(spark, "language"))
+
+
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Workspace(spark, 'tokens').path}/store"
     tokenfile.write_store(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
@@ -33,7 +37,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_file": op3_token_file, "op6_decontaminate": op6_decontaminate, "op8_simhash": op8_simhash}
+    return {"op1_language": op1_language, "op3_token_file": op3_token_file, "op6_decontaminate": op6_decontaminate, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
