@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import decontam, langid, simhash, tokenfile
+from quillframe.llm import decontam, langid, rules, simhash, tokenfile
 from quillframe.llm.common import Workspace, table
 
 
@@ -36,8 +36,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op3_token_file": op3_token_file, "op6_decontaminate": op6_decontaminate, "op8_simhash": op8_simhash}
+    return {"op1_language": op1_language, "op3_token_file": op3_token_file, "op6_decontaminate": op6_decontaminate, "op8_simhash": op8_simhash, "op9_rules": op9_rules}
 
 
 def oracle_sql() -> dict[str, str]:
