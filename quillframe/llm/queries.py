@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import decontam, langid, rules, simhash, tokenfile
+from quillframe.llm import decontam, langid, quality, rules, simhash, tokenfile
 from quillframe.llm.common import Workspace, table
 
 
@@ -32,6 +32,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op3_token_file": op3_token_file, "op6_decontaminate": op6_decontaminate, "op8_simhash": op8_simhash, "op9_rules": op9_rules}
+    return {"op1_language": op1_language, "op3_token_file": op3_token_file, "op6_decontaminate": op6_decontaminate, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op9_rules": op9_rules}
 
 
 def oracle_sql() -> dict[str, str]:

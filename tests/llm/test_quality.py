@@ -1,0 +1,71 @@
+import os
+import random
+
+import numpy as np
+import pytest
+
+from quillframe.llm import quality
+from quillframe.llm.common import table
+
+SCHEMA = "doc_id long, text string, quality string, score string"
+
+
+def test_measures():
+    n, values = quality.measures("THE cat! | cat ### end.".encode())
+    assert n == 6
+    assert dict(zip(quality.MEASURES, (values * n).round(6))) == {"symbols": 3, "capitals": 1, "marks": 1, "pipes": 1, "repeats": 0, "word_size": 18, "ends": 1, "odd": pytest.approx(5 * 6 / 18)}
+    assert quality.measures(b" \n") [0] == 0
+
+
+def test_expectation_maximisation_finds_planted_rates():
+    rng = np.random.default_rng(1)
+    k, n = len(quality.LABELLERS), 60_000
+    rates = np.array([[0.05, 0.5] if vote else [0.9, 0.4] for _, vote, *_ in quality.LABELLERS]).T
+    bad = rng.random(n) < 0.25
+    fired = rng.random((n, k)) < rates[bad.astype(int)]
+    seen = np.where(rng.random((n, k)) < 0.1, quality.SHORT, fired.astype(int))
+    patterns, counts = np.unique(seen @ 3 ** np.arange(k - 1, -1, -1), return_counts=True)
+    assert (quality.digits(patterns)[0] == np.array([int(x) for x in np.base_repr(patterns[0], 3).zfill(k)])).all()
+    model = quality.LabelModel.fit(patterns, counts.astype(float))
+    assert abs(model.bad - 0.25) < 0.02
+    assert np.abs(model.rates - rates).max() < 0.04
+    right = np.array([(bad if v else ~bad)[fired[:, j]].mean() for j, (_, v, *_) in enumerate(quality.LABELLERS)])
+    assert np.abs(model.accuracies() - right).max() < 0.05
+
+
+def test_scorer_separates():
+    rng = np.random.default_rng(2)
+    rows, targets = [], []
+    for i in range(200):
+        y = i % 2
+        rows.append((np.array([y * 7 + 1, int(rng.integers(100, 200))], np.int32), np.ones(2, np.float32)))
+        targets.append(0.95 if y else 0.05)
+    w = quality.fit_scorer(rows, np.array(targets))
+    z = [w[b] @ v + w[-1] for b, v in rows]
+    assert all((x > 0) == bool(i % 2) for i, x in enumerate(z))
+    assert (quality.fit_scorer([], np.zeros(0)) == 0).all()
+
+
+def test_edges(spark):
+    rng = random.Random(3)
+    say = lambda: " ".join(rng.choice("the of and there thing that. it, was.".split()) + str(rng.randint(0, 99)) + rng.choice(["", ".", ","]) for _ in range(60))
+    rows = [(i, say(), "a", "b") for i in range(80)] + [(100 + i, say().upper().replace(" ", "!! "), "a", "b") for i in range(15)]
+    rows += [(200, None, "a", "b"), (201, "", "a", "b"), (None, rows[0][1], "a", "b"), (0, rows[0][1], "a", "b"), (0, rows[0][1], "a", "b"), (202, "long words here. " * 40000, "a", "b")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = quality.report(df).collect()
+    assert len(got) == len(rows)
+    assert {r.kept for r in got if r.doc_id is not None and 100 <= r.doc_id < 115} == {False}
+    assert {r.kept for r in got if r.doc_id is None or r.doc_id < 80} == {True}
+    assert all(0 <= r.score <= 1 for r in got)
+    assert quality.report(df.limit(0)).collect() == []
+    marked = quality.score(df, quality.train(df))
+    assert marked.columns == ["doc_id", "text", "quality", "score"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_against_labels(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.01", x) for x in ("documents", "labels"))
+    got = quality.report(docs).join(labels.select("doc_id", "quality"), "doc_id").collect()
+    good, bad = ([r.kept for r in got if r.quality == q] for q in (1, 0))
+    assert sum(good) / len(good) > 0.99
+    assert 1 - sum(bad) / len(bad) > 0.9
