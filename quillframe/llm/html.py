@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ BLOCKS = frozenset(
 #: Elements whose whole content is no text of the article.
 SILENT = frozenset("head nav aside form footer script style noscript template iframe object svg canvas audio video button select textarea datalist dialog menu".split())
 #: Elements whose content is not markup.
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold an article.
 HOLDERS = frozenset(("article", "main"))
@@ -53,10 +54,14 @@ ENDS = {
     "td": ({"td", "th"}, {"table", "tr"}),
     "th": ({"td", "th"}, {"table", "tr"}),
 }
+#: End tags of other elements close nothing outside the nearest of these.
+CELLS = frozenset("table caption td th".split())
+#: Elements on a path; what lies deeper counts to the path it is in.
+DEPTH = 200
 #: Weight of a leaf's own path and of each neighbour in smoothing.
 SMOOTH = (0.25, 0.5, 0.25)
 #: Share of the page's mean score that a path needs, where no element holds the article.
-THRESHOLD = 0.3
+THRESHOLD = 0.6
 #: Share of linked text above which a path is a menu.
 LINKED = 0.6
 
@@ -84,8 +89,9 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str, int]]:
     """The page's text blocks: (path, silent, inside an article, text, code points inside links)."""
     out: list[tuple[str, bool, bool, str, int]] = []
     stack = [_Open("", "", False, False)]
+    opened: Counter[str] = Counter()
     text: list[str] = []
-    linked, depth_a, at = 0, 0, 0
+    linked, in_link, at = 0, False, 0
 
     def end() -> None:
         nonlocal linked
@@ -97,10 +103,14 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str, int]]:
             text.clear()
         linked = 0
 
-    def pop(names: set[str], within: set[str]) -> None:
+    def pop(names: set[str], within: frozenset | set[str]) -> None:
+        """Closes the nearest open element of these names, unless one of ``within`` is nearer."""
+        if not any(opened[x] for x in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
                 end()
+                opened.subtract(x.name for x in stack[i:])
                 del stack[i:]
                 return
             if stack[i].name in within:
@@ -111,7 +121,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str, int]]:
         piece = page[at : tag.start() if tag else len(page)]
         if piece:
             text.append(piece)
-            if depth_a:
+            if in_link:
                 linked += len(piece)
         if not tag:
             break
@@ -122,40 +132,38 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str, int]]:
         name = name.lower()
         if tag[0][1] == "/":
             if name == "a":
-                depth_a = max(0, depth_a - 1)
-            elif name in BLOCKS or name in SILENT:
-                pop({name}, set())
+                in_link = False
             elif name == "br":
                 text.append(" ")
+            elif name in BLOCKS or name in SILENT:
+                end()
+                pop({name}, frozenset() if name in CELLS else CELLS)
             continue
         attributes = tag[2]
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = close.end() if close else len(page)
-            if name == "title" or name in SILENT:
-                continue
         elif name == "a":
-            depth_a = 1
+            in_link = True
         elif name in VOID:
+            text.append(" ")
             if name == "hr":
                 end()
-            text.append(" ")
         elif name in BLOCKS or name in SILENT:
+            end()
+            if name != "head":
+                pop({"head"}, BLOCKS)
             if name in BLOCKS:
                 pop({"p"}, BLOCKS - {"p"})
-                end()
             if name in ENDS:
                 pop(*ENDS[name])
-            if name == "body":
-                pop({"head"}, set())
-            elif len(text):
-                end()
+            if name == "svg" and attributes.endswith("/"):
+                continue
             parent = stack[-1]
-            if len(stack) < 400 and not attributes.endswith("/") or name in BLOCKS and len(stack) < 400:
-                silent = _silent(name, attributes, parent)
-                stack.append(_Open(name, f"{parent.key}/{name}", silent, parent.held or name in HOLDERS and not silent))
-        elif HIDDEN.search(attributes):
-            pass
+            key = f"{parent.key}/{name}" if len(stack) < DEPTH else parent.key
+            silent = _silent(name, attributes, parent)
+            stack.append(_Open(name, key, silent, parent.held or name in HOLDERS and not silent))
+            opened[name] += 1
     end()
     return out
 

@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import decontam, langid, quality, rules, simhash, tokenfile
+from quillframe.llm import decontam, html, langid, quality, rules, simhash, sql, tokenfile, urls
 from quillframe.llm.common import Workspace, table
 
 
+#: (host, path, verdict)
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -28,6 +42,10 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").cast("long").alias("doc_id"), "start", "n_tokens", "ids_crc32", "indexed")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.report(table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,8 +63,8 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op3_token_file": op3_token_file, "op6_decontaminate": op6_decontaminate, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op9_rules": op9_rules}
+    return {"op1_language": op1_language, "op2_urls": op2_urls, "op3_token_file": op3_token_file, "op4_html": op4_html, "op6_decontaminate": op6_decontaminate, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op9_rules": op9_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_urls": sql.OP2, "op6_decontaminate": sql.OP6}
