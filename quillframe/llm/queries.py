@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import decontam, html, langid, quality, rules, simhash, sql, tokenfile, urls
+from quillframe.llm import decontam, html, langid, packing, passages, quality, rules, simhash, sql, tokenfile, urls
 from quillframe.llm.common import Workspace, table
 
 
@@ -46,6 +46,10 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.report(table(spark, sf_dir, "pages"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,8 +66,23 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(table(spark, sf_dir, "documents"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_urls": op2_urls, "op3_token_file": op3_token_file, "op4_html": op4_html, "op6_decontaminate": op6_decontaminate, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op9_rules": op9_rules}
+    return {
+        "op1_language": op1_language,
+        "op2_urls": op2_urls,
+        "op3_token_file": op3_token_file,
+        "op4_html": op4_html,
+        "op5_packing": op5_packing,
+        "op6_decontaminate": op6_decontaminate,
+        "op7_quality": op7_quality,
+        "op8_simhash": op8_simhash,
+        "op9_rules": op9_rules,
+        "op10_passages": op10_passages,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
