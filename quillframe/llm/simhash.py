@@ -78,14 +78,15 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` for every row; ``fp`` holds the 64 bits as a signed long."""
+    """``(doc_id, text_key, fp)`` for every row; ``fp`` holds the 64 bits as a signed long, ``text_key`` is a hash of the text."""
 
     def run(batch: pa.RecordBatch):
-        fps = np.array([simhash(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+        fps = np.array([simhash(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "text_key", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
-    return map_batches(rows, run, "doc_id long, fp long")
+    text = utf8(F.col(f"`{text_col}`"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return map_batches(rows, run, "doc_id long, text_key long, fp long")
 
 
 def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -161,15 +162,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ws = Workspace(docs.sparkSession, "simhash")
     fps = ws.save(fingerprints(docs, id_col, text_col), "fps")
-    distinct = ws.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    classes = ws.save(connected_components(links(distinct, ws), ws), "classes")
-    joined = distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    joined = ws.save(joined, "joined")
-    first = ws.save(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_fingerprints")), "first")
-    of = ws.save(joined.join(first, "root").select("fp", "component_id", "n_fingerprints"), "of")
+    of = fingerprint_classes(fps, ws)
     return fps.join(of, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
         "n_fingerprints",
     )
+
+
+def fingerprint_classes(fps: DataFrame, ws: Workspace) -> DataFrame:
+    """``(fp, root, component_id, n_fingerprints)`` of every fingerprint in ``fps(doc_id, fp)``; ``root`` names the class."""
+    distinct = ws.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    classes = ws.save(connected_components(links(distinct, ws), ws), "classes")
+    joined = distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    joined = ws.save(joined, "joined")
+    first = ws.save(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_fingerprints")), "first")
+    return ws.save(joined.join(first, "root").select("fp", "root", "component_id", "n_fingerprints"), "of")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns: one of each class, of the document with the least id.
+
+    Null ids come after all others. Of rows that share the least id of a class
+    the one whose text has the least hash stays, and of equal rows one.
+    """
+    ws = Workspace(docs.sparkSession, "simhash")
+    last = F.lit((1 << 63) - 1)
+    fps = ws.save(fingerprints(docs, id_col, text_col).select(F.coalesce("doc_id", last).alias("doc_id"), "text_key", "fp"), "fps")
+    roots = fps.join(fingerprint_classes(fps, ws).select("fp", "root"), "fp")
+    kept = roots.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_text"))
+    kept = ws.save(kept, "kept")
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), last), "_text": F.xxhash64(utf8(F.col(f"`{text_col}`")))})
+    stay = keyed.join(kept, ["_id", "_text"], "left_semi")
+    copies = fps.groupBy("doc_id", "text_key").count().where("count > 1")
+    if not copies.isEmpty():
+        stay = stay.dropDuplicates(["_id", "_text"])
+    return stay.drop("_id", "_text")

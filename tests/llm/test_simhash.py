@@ -103,3 +103,19 @@ def test_components_of_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (None, 3), (7, 8), (8, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long"), Workspace(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 1000 for i in range(1000, 1200)}}
+
+
+def test_keep_one(spark):
+    rows = corpus(120, 4)
+    rows += [(None, rows[3][1]), (5, rows[7][1]), (5, rows[7][1]), (500, None), (501, ""), (1, rows[1][1]), (1, rows[1][1]), (None, "only here, once and again")] + [(600, "a b c d e")] * 3
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    classes = {}
+    comp = brute_components({brute_fingerprint(t) for _, t in rows}, lambda a, b: (a ^ b).bit_count() <= 2)
+    for d, t in rows:
+        c = comp[brute_fingerprint(t)]
+        classes[c] = min(classes.get(c, 1 << 63), (1 << 63) - 1 if d is None else d)
+    kept = got.collect()
+    assert sorted((comp[brute_fingerprint(r.text)], r.doc_id if r.doc_id is not None else (1 << 63) - 1) for r in kept) == sorted(classes.items())
+    assert simhash.keep_one(df.limit(0)).count() == 0
