@@ -7,7 +7,8 @@ exact Jaccard similarity, with the leader of each of its buckets. Where a bucket
 then still holds several components, every member outside the largest is
 compared with all members of the other components: members of the largest are
 joined already, so no colliding pair is left out and no group is expanded into
-all its pairs. Components of the verified links are the removal classes.
+all its pairs. A bit array of the shingles bounds the similarity from above
+inside that join, so that only pairs that may be similar leave it. Components of the verified links are the removal classes.
 
 A passage can also sit inside a longer paragraph. Texts are therefore cut, too,
 at points that their words define (a pair of words whose hash is least among its
@@ -24,7 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import Workspace, map_batches, utf8
@@ -44,7 +45,10 @@ FILTER_BITS = 1 << 26
 #: Word hashes that a Python worker remembers.
 WORDS = 500_000
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of texts that are read at once.
+STEP = 1 << 20
+
+_MULT, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: What a key is of, besides bands 0 and up: a piece, or a whole paragraph.
 _PIECE, _WHOLE = np.int8(-1), np.int8(-2)
 
@@ -74,42 +78,45 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
-def shingles(hashes: np.ndarray) -> np.ndarray:
-    """Different hashes of the five-word shingles, sorted; fewer words make one shingle."""
-    n = max(1, len(hashes) - SHINGLE + 1)
-    width = min(SHINGLE, len(hashes))
+def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the five-word shingles that start at each word but the last four."""
+    n = max(0, len(hashes) - SHINGLE + 1)
+    out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        out = np.zeros(n, np.uint64)
-        for shift in range(width):
-            out = mix(out * _MULT + hashes[shift : shift + n] + np.uint64(shift + 1))
-    return np.unique(out)
+        for shift in range(SHINGLE):
+            out = (out ^ (out >> np.uint64(29))) * _MULT + hashes[shift : shift + n]
+    return (mix(out) >> np.uint64(32)).astype(np.uint32)
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of ``BANDS`` keys for each set of shingles."""
-    flat = np.concatenate(sets)
+    """A row of ``BANDS`` keys for each set of shingles; a shingle that occurs again changes nothing."""
+    flat = np.concatenate(sets).astype(np.uint64)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    least = np.stack([np.minimum.reduceat(mix(flat ^ seed), starts) for seed in _SEEDS])
+    keys = np.zeros((BANDS, len(sets)), np.uint64)
     with np.errstate(over="ignore"):
-        keys = np.zeros((BANDS, len(sets)), np.uint64)
-        for row in range(ROWS):
-            keys = mix(keys * _MULT + least[row::ROWS])
+        for i, seed in enumerate(_SEEDS):
+            x = (flat ^ seed) * _MULT
+            x ^= x >> np.uint64(29)
+            least = np.minimum.reduceat(x * _SECOND, starts)
+            keys[i // ROWS] = mix(keys[i // ROWS] * _MULT + least)
     return keys.T
 
 
-def cuts(hashes: np.ndarray) -> np.ndarray:
-    """First words of the pieces of a text, the start included."""
+def cuts(hashes: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """First words of the pieces of the texts that begin at ``starts``; each start is one."""
     n = len(hashes)
-    if n < 2 * REACH + 2:
-        return np.zeros(min(n, 1), np.int64)
+    starts = np.zeros(min(n, 1), np.int64) if starts is None else starts
+    if n < 2:
+        return starts
+    sizes = np.diff(np.append(starts, n))
+    local = np.arange(n) - np.repeat(starts, sizes)
+    least = ((local >= REACH) & (local < np.repeat(sizes, sizes) - 1 - REACH))[:-1]
     with np.errstate(over="ignore"):
         pair = mix(hashes[:-1] * _MULT + hashes[1:])
-    inner = pair[REACH : len(pair) - REACH]
-    least = np.ones(len(inner), bool)
     for shift in range(1, REACH + 1):
-        least &= inner < pair[REACH - shift : len(pair) - REACH - shift]
-        least &= inner < pair[REACH + shift : len(pair) - REACH + shift]
-    return np.concatenate([[0], np.flatnonzero(least) + REACH])
+        least[shift:] &= pair[shift:] < pair[:-shift]
+        least[:-shift] &= pair[:-shift] < pair[shift:]
+    return np.union1d(starts, np.flatnonzero(least))
 
 
 def piece_keys(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -117,27 +124,63 @@ def piece_keys(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     sizes = np.diff(np.append(firsts, len(hashes)))
     at = np.arange(len(hashes), dtype=np.int64) - np.repeat(firsts, sizes)
     with np.errstate(over="ignore"):
-        spread = mix(hashes + mix((at + 1).astype(np.uint64)))
+        spread = mix(hashes + (at + 1).astype(np.uint64) * _SECOND)
         return mix(np.add.reduceat(spread, firsts) + sizes.astype(np.uint64))
 
 
-def read(text: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Hashes of all words in lower case, and the paragraphs of ``RUN`` words or more as ranges of words."""
-    words, lines = [], []
-    for line in text.lower().split(b"\n"):
-        found = line.split()
-        if len(found) >= RUN:
-            lines.append((len(words), len(words) + len(found)))
-        words += found
-    return word_hashes(words), lines
-
-
 def _paragraphs(hashes: np.ndarray, lines: list[tuple[int, int]]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Shingle sets and ids of the paragraphs; the id is a key of the set."""
-    sets = [shingles(hashes[a:b]) for a, b in lines]
-    with np.errstate(over="ignore"):
-        ids = np.array([int(mix(np.atleast_1d(np.add.reduce(mix(s ^ _MULT)) + np.uint64(len(s))))[0]) for s in sets], np.uint64)
-    return sets, ids
+    """Shingles of the paragraphs, and ids: keys of their words."""
+    shingles = shingle_hashes(hashes)
+    sets = [shingles[a : b - SHINGLE + 1] for a, b in lines]
+    if not sets:
+        return sets, np.zeros(0, np.uint64)
+    sizes = np.array([b - a for a, b in lines])
+    firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    words = np.arange(sizes.sum()) + np.repeat(np.array([a for a, _ in lines]) - firsts, sizes)
+    return sets, piece_keys(hashes[words], firsts)
+
+
+class Texts:
+    """Some texts at once: hashes of all their words, where each text starts, its pieces and its paragraphs."""
+
+    def __init__(self, texts: list[bytes]):
+        words: list[bytes] = []
+        starts, line_text = [0], []
+        self.lines: list[tuple[int, int]] = []
+        for i, text in enumerate(texts):
+            for line in text.lower().split(b"\n"):
+                found = line.split()
+                if len(found) >= RUN:
+                    self.lines.append((len(words), len(words) + len(found)))
+                    line_text.append(i)
+                words += found
+            starts.append(len(words))
+        self.starts = np.array(starts)
+        self.hashes = word_hashes(words)
+        self.line_text = np.array(line_text, np.int64)
+        self.compared = np.array([b - a >= PARAGRAPH for a, b in self.lines], bool)
+        self.firsts = cuts(self.hashes, self.starts[:-1][np.diff(self.starts) > 0])
+        self.stops = np.append(self.firsts[1:], len(self.hashes))
+        self.piece_text = np.searchsorted(self.starts, self.firsts, "right") - 1
+        self.pieces = piece_keys(self.hashes, self.firsts) if len(self.firsts) else np.zeros(0, np.uint64)
+        self.sets, self.ids = _paragraphs(self.hashes, self.lines)
+
+    def bands(self) -> np.ndarray:
+        """Band keys of the paragraphs that are compared."""
+        sets = [s for s, ok in zip(self.sets, self.compared) if ok]
+        return band_keys(sets) if sets else np.zeros((0, BANDS), np.uint64)
+
+
+def _some(texts: list[bytes]):
+    """Ranges of texts of about ``STEP`` bytes."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= STEP:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -145,29 +188,15 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _keys_of(batch: pa.RecordBatch):
-    """Rows (band, key, value): pieces with their document, bands with their paragraph."""
-    bands, keys, values, sets, ids = [], [], [], [], []
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        hashes, lines = read(text)
-        if not len(hashes):
-            continue
-        found = np.unique(piece_keys(hashes, cuts(hashes)))
-        bands.append(np.full(len(found), _PIECE))
-        keys.append(found)
-        values.append(np.full(len(found), doc, np.int64).view(np.uint64))
-        own, names = _paragraphs(hashes, lines)
-        bands.append(np.full(len(names), _WHOLE))
-        keys.append(names)
-        values.append(np.full(len(names), doc, np.int64).view(np.uint64))
-        compared = [b - a >= PARAGRAPH for a, b in lines]
-        sets += [s for s, ok in zip(own, compared) if ok]
-        ids.append(names[np.array(compared, bool)])
-    if sets:
-        found = band_keys(sets)
-        bands += [np.full(len(sets), b, np.int8) for b in range(BANDS)]
-        keys += list(found.T)
-        values += [np.concatenate(ids)] * BANDS
-    if bands:
+    """Rows (band, key, value): pieces and whole paragraphs with their document, bands with their paragraph."""
+    docs, texts = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist()
+    for a, b in _some(texts):
+        t = Texts(texts[a:b])
+        own = docs[a:b]
+        found = t.bands()
+        bands = [np.full(len(t.pieces), _PIECE), np.full(len(t.ids), _WHOLE), *[np.full(len(found), i, np.int8) for i in range(BANDS)]]
+        keys = [t.pieces, t.ids, *found.T]
+        values = [own[t.piece_text], own[t.line_text], *[t.ids[t.compared]] * BANDS]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands)), _signed(np.concatenate(keys)), _signed(np.concatenate(values))], ["band", "key", "value"])
 
 
@@ -186,40 +215,45 @@ def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _runs(flags: np.ndarray, firsts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of set flags as (first, last + 1) that have two pieces and ``RUN`` words."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-    return [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= 2 and stops[b - 1] - firsts[a] >= RUN]
+def _in_runs(flags: np.ndarray, texts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of flagged pieces, those in a run within one text that has two pieces and ``RUN`` words."""
+    if not len(flags):
+        return flags
+    new = np.ones(len(flags), bool)
+    new[1:] = (flags[1:] != flags[:-1]) | (texts[1:] != texts[:-1])
+    firsts = np.flatnonzero(new)
+    n = np.diff(np.append(firsts, len(flags)))
+    return flags & np.repeat((n >= 2) & (np.add.reduceat(sizes, firsts) >= RUN), n)
 
 
-OCCURRENCE = "doc long, text_key long, part long, start long, stop long, key long, shingles binary, bands array<long>"
+OCCURRENCE = "doc long, text_key long, part int, start int, stop int, key long, shingles binary, bands array<long>"
 
 
 def _occurrences(sent):
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    schema = pa.schema(list(zip([x.split()[0] for x in OCCURRENCE.split(", ")], kinds)))
+
     def run(batch: pa.RecordBatch):
         pieces, wholes, buckets = sent.value
-        out: list[tuple] = []
-        for doc, text_key, text in zip(*(c.to_pylist() for c in batch.columns)):
-            hashes, lines = read(text)
-            if not len(hashes):
-                continue
-            firsts = cuts(hashes)
-            stops = np.append(firsts[1:], len(hashes))
-            keys = piece_keys(hashes, firsts)
-            for a, b in _runs(_passes(pieces, keys), firsts, stops):
-                out += [(doc, text_key, i, int(firsts[i]), int(stops[i]), int(keys[i].view(np.int64)), None, None) for i in range(a, b)]
-            if lines:
-                sets, ids = _paragraphs(hashes, lines)
-                found = band_keys(sets)
-                compared = np.array([b - a >= PARAGRAPH for a, b in lines])
-                shared = compared & _passes(buckets, found).any(axis=1) | _passes(wholes, ids)
-                for i in np.flatnonzero(shared).tolist():
-                    bands = found[i].view(np.int64).tolist() if compared[i] else []
-                    out.append((doc, text_key, None, *lines[i], int(ids[i].view(np.int64)), sets[i].tobytes(), bands))
-        if out:
-            kinds = [pa.int64()] * 6 + [pa.binary(), pa.list_(pa.int64())]
-            names = [x.split()[0] for x in OCCURRENCE.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        docs, keys, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        for a, b in _some(texts):
+            t = Texts(texts[a:b])
+            i = np.flatnonzero(_in_runs(_passes(pieces, t.pieces), t.piece_text, t.stops - t.firsts))
+            at = t.piece_text[i]
+            part = i - np.searchsorted(t.piece_text, at)
+            places = [x.astype(np.int32) for x in (part, t.firsts[i] - t.starts[at], t.stops[i] - t.starts[at])]
+            cols = [docs[a:b][at], keys[a:b][at], *places, t.pieces[i].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(i), kinds[6]), pa.nulls(len(i), kinds[7])], schema=schema)
+            found = t.bands()
+            near = np.zeros(len(t.ids), bool)
+            near[t.compared] = _passes(buckets, found).any(axis=1)
+            j = np.flatnonzero(near | _passes(wholes, t.ids))
+            at, place = t.line_text[j], np.cumsum(t.compared) - 1
+            lines = (np.array([t.lines[k] for k in j], np.int64).reshape(-1, 2) - t.starts[at][:, None]).astype(np.int32)
+            sets = [np.unique(t.sets[k]).tobytes() for k in j]
+            bands = [found[place[k]].view(np.int64) if t.compared[k] else np.zeros(0, np.int64) for k in j]
+            cols = [pa.array(docs[a:b][at]), pa.array(keys[a:b][at]), pa.nulls(len(j), kinds[2]), pa.array(lines[:, 0]), pa.array(lines[:, 1])]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(t.ids[j].view(np.int64)), pa.array(sets, kinds[6]), pa.array(bands, kinds[7])], schema=schema)
 
     return run
 
@@ -231,7 +265,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(a.to_pylist(), b.to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= SIMILAR * max(len(x), len(y)) else 0
             out.append(both >= SIMILAR * (len(x) + len(y) - both))
         return pa.array(out, pa.bool_())
@@ -241,23 +275,59 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(similar("a", "b")).select("u", "v")
 
 
+def _marked(sets: DataFrame) -> DataFrame:
+    """``sets`` with the number of shingles ``n`` and a bit array of them, ``b0`` to ``b3``."""
+
+    @F.arrow_udf("struct<b0:long,b1:long,b2:long,b3:long>")
+    def bits(shingles: pa.Array) -> pa.Array:
+        out = np.zeros((len(shingles), 256), bool)
+        for row, x in zip(out, shingles.to_pylist()):
+            row[np.frombuffer(x, np.uint32) % 256] = True
+        words = np.packbits(out, axis=1, bitorder="little").view(np.int64).reshape(-1, 4)
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)], ["b0", "b1", "b2", "b3"])
+
+    return sets.select("key", "bands", (F.octet_length("shingles") / 4).cast("int").alias("n"), bits("shingles").alias("b")).select("key", "bands", "n", "b.*")
+
+
+def _may_be_similar(x: str, y: str) -> Column:
+    """What two similar paragraphs (struct columns) always meet.
+
+    A bit that only one side has stands for a shingle that only that side has,
+    and similar sets leave each side but few of those.
+    """
+    shared = SIMILAR / (1 + SIMILAR) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+    def only(a: str, b: str) -> Column:
+        counts = [F.bit_count(F.col(f"{a}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.b{i}")))) for i in range(4)]
+        return counts[0] + counts[1] + counts[2] + counts[3]
+
+    return (only(x, y) <= F.col(f"{x}.n") - shared + 1e-6) & (only(y, x) <= F.col(f"{y}.n") - shared + 1e-6)
+
+
 def paragraph_classes(sets: DataFrame, ws: Workspace) -> DataFrame:
     """``(node, component)`` of the paragraphs ``sets(key, shingles, bands)`` linked by similarity, from all pairs that collide in a band."""
-    banded = sets.select("key", F.posexplode("bands").alias("band", "bucket"))
-    buckets = banded.groupBy("band", "bucket").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader < last")
-    buckets = ws.save(buckets.select("band", "bucket", "leader"), "buckets")
+    own = F.struct("key", "n", "b0", "b1", "b2", "b3")
+    banded = _marked(sets).select(own.alias("x"), F.posexplode("bands").alias("band", "bucket"))
+    buckets = banded.groupBy("band", "bucket").agg(F.min("x.key").alias("lo"), F.max("x.key").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    buckets = ws.save(buckets.select("band", "bucket", "size"), "buckets")
     members = ws.save(banded.join(buckets, ["band", "bucket"]), "members")
-    links = ws.save(_verified(members.where("key <> leader").select(F.col("key").alias("u"), F.col("leader").alias("v")).distinct(), sets), "links")
+    # a bucket's leader is the member that meets most others over all bands: the least changed of a group of copies
+    scores = ws.save(members.groupBy(F.col("x.key").alias("key")).agg(F.sum("size").alias("score")), "scores")
+    scored = members.join(scores, F.col("x.key") == F.col("key")).drop("key")
+    leaders = ws.save(scored.groupBy("band", "bucket").agg(F.max_by("x", F.struct("score", "x.key")).alias("y")), "leaders")
+    pairs = members.join(leaders, ["band", "bucket"]).where((F.col("x.key") != F.col("y.key")) & _may_be_similar("x", "y"))
+    links = ws.save(_verified(pairs.select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct(), sets), "links")
     classes = ws.save(connected_components(links, ws, "first"), "first")
-    named = members.join(classes, members["key"] == classes["node"], "left").select("band", "bucket", "key", F.coalesce("component", "key").alias("c"))
+    named = members.join(classes, F.col("x.key") == F.col("node"), "left").select("band", "bucket", "x", F.coalesce("component", "x.key").alias("c"))
     named = ws.save(named, "named")
     sizes = named.groupBy("band", "bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     open_ = sizes.groupBy("band", "bucket").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
     open_ = ws.save(open_.select("band", "bucket", "most"), "open")
     rest = ws.save(named.join(open_, ["band", "bucket"]), "rest")
-    out = rest.where("c <> most").select("band", "bucket", F.col("key").alias("u"), F.col("c").alias("cu"))
-    pairs = out.join(rest.select("band", "bucket", F.col("key").alias("v"), F.col("c").alias("cv")), ["band", "bucket"]).where("cu <> cv")
-    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    out = rest.where("c <> most").select("band", "bucket", "x", F.col("c").alias("cx"))
+    others = rest.select("band", "bucket", F.col("x").alias("y"), F.col("c").alias("cy"))
+    pairs = out.join(others, ["band", "bucket"]).where((F.col("cx") != F.col("cy")) & _may_be_similar("x", "y"))
+    pairs = pairs.select(F.greatest("x.key", "y.key").alias("u"), F.least("x.key", "y.key").alias("v")).distinct()
     more = ws.save(_verified(pairs, sets), "more")
     return ws.save(connected_components(links.union(more), ws, "second"), "classes")
 
@@ -278,7 +348,7 @@ def shared_passages(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text
     order = ["doc", "text_key"]
     parts = owned.groupBy(*order).agg(F.sort_array(F.collect_set(F.struct("part", "start", "stop"))).alias("parts"))
     # adjacent pieces are joined and runs that are too short are left out
-    runs = parts.select(*order, F.arrow_udf(_joined, "array<struct<start:long,stop:long>>")("parts").alias("spans"))
+    runs = parts.select(*order, F.arrow_udf(_joined, "array<struct<start:int,stop:int>>")("parts").alias("spans"))
 
     lines = found.where("part IS NULL")
     sets = ws.save(lines.groupBy("key").agg(F.min("shingles").alias("shingles"), F.first("bands").alias("bands")), "sets")
@@ -301,7 +371,7 @@ def _joined(lists: pa.Array) -> pa.Array:
             else:
                 runs.append([p["part"], 1, p["start"], p["stop"]])
         out.append([{"start": a, "stop": b} for _, n, a, b in runs if n >= 2 and b - a >= RUN])
-    return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
 
 
 def _doc(id_col: str):
@@ -380,3 +450,10 @@ def report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, the text without shared passages, n_words before, n_removed, n_spans, changed."""
     rows = docs.select("doc_id", "text", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\x09-\\x0D]+"), lambda w: w != "")).cast("long").alias("n_words"))
     return dedup_passages(rows).select("doc_id", "text", "n_words", "passages.n_removed", "passages.n_spans", (F.col("passages.n_removed") > 0).alias("changed"))
+
+
+def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with shared passages cut out, with their own columns; rows go that had words and have none left."""
+    done = dedup_passages(docs, id_col, text_col, out="_passages")
+    left = F.length(F.btrim(F.col(f"`{text_col}`"), F.lit(" \t\n\r\x0b\x0c"))) > 0
+    return done.where((F.col("_passages.n_removed") == 0) | left).drop("_passages")
