@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import sys
 from array import array
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
 
 #: Pieces whose ids a Python worker remembers before it starts anew.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 800_000
 
-#: Spaces and line ends beside other white space; a text without them is cut at each of its spaces and line ends.
-_BESIDE = re.compile(r"\s[ \n]|[ \n]\s")
+#: Line ends and spaces between two other characters.
 _LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters, and then marks to the end of a piece: always one part of the byte-level pattern, or two.
-_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*#$%&]*)")
+_WORD_AND_MARKS = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*#$%&]*)")
 
 
 def pieces_are_safe(spec: dict) -> bool:
@@ -45,26 +45,6 @@ def pieces_are_safe(spec: dict) -> bool:
     )
 
 
-class Pieces:
-    """Ids by piece, for pieces with or without a space before; two generations keep the frequent ones."""
-
-    def __init__(self, before: str, limit: int):
-        self.before, self.limit = before, limit
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def age(self) -> None:
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-
-    def missing(self, pieces: set[str]) -> list[str]:
-        """The pieces that are not remembered; the others are in ``new`` afterwards."""
-        wanted = pieces.difference(self.new)
-        kept = wanted & self.old.keys()
-        self.new.update((p, self.old[p]) for p in kept)
-        return list(wanted - kept)
-
-
 def byte_letters() -> dict[int, str]:
     """The printable character that byte-level vocabularies use for each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -73,7 +53,12 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of texts as raw little-endian bytes, ``width`` bytes an id; the same ids as ``Tokenizer.encode``."""
+    """Ids of texts as raw little-endian bytes, ``width`` bytes an id; the same ids as ``Tokenizer.encode``.
+
+    A text is cut at its spaces and line ends; a piece is a word after a space,
+    or a line end and the word after it. The ids of pieces are remembered, in
+    two generations so that frequent ones stay.
+    """
 
     def __init__(self, path: str, spec: str | None = None, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,8 +71,10 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
         self.code = "H" if self.width == 2 else "I"
-        self.first = Pieces("", cache_pieces)
-        self.rest = Pieces(" ", cache_pieces)
+        self.limit = cache_pieces
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.line_end = self._raw(["\n"])[0]
         spec = json.loads(spec)
         self.safe = pieces_are_safe(spec)
         if self.safe:
@@ -121,40 +108,74 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.safe:
             return [self._raw([t])[0] for t in texts]
-        out = []
-        for at in range(0, len(texts), 64):
-            part = [self._cut(t) for t in texts[at : at + 64]]
-            self.first.age()
-            self.rest.age()
-            self._learn(self.first, {line[0] for lines in part for line in lines} | {"\n"})
-            self._learn(self.rest, set().union(*[line[1:] for lines in part for line in lines]))
-            first, rest = self.first.new, self.rest.new.__getitem__
-            end = first["\n"]
-            out += [end.join([first[line[0]] + b"".join(map(rest, line[1:])) for line in lines]) for lines in part]
+        collects = gc.isenabled()
+        gc.disable()  # the many short lists below hold no cycles
+        try:
+            return [ids for at in range(0, len(texts), 256) for ids in self._some(texts[at : at + 256])]
+        finally:
+            if collects:
+                gc.enable()
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        pieces: list[str] = []
+        ends = [0]
+        for text in texts:
+            pieces += ("\n" + text).replace("\n", " \n")[1:].split(" ")
+            ends.append(len(pieces))
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        ids = list(map(self.new.get, pieces))
+        absent = list(compress(range(len(ids)), map(not_, ids)))
+        if absent:
+            self._learn({pieces[i] for i in absent})
+            known = self.new.get
+            for i in absent:
+                ids[i] = known(pieces[i])
+        skip, out = len(self.line_end), []
+        for text, a, b in zip(texts, ends, ends[1:]):
+            try:
+                out.append(b"".join(ids[a:b])[skip:])
+            except TypeError:  # a piece beside other white space
+                out.append(self._spaced(text))
         return out
 
-    @staticmethod
-    def _cut(text: str) -> list[list[str]]:
-        """Lines of pieces; each piece but a line's first has a space before it."""
-        if _BESIDE.search(text):
-            return [_SPACE.split(line) for line in _LINE_END.split(text)]
-        return [line.split(" ") for line in text.split("\n")]
-
-    def _learn(self, pieces: Pieces, wanted: set[str]) -> None:
-        """Puts the ids of all wanted pieces into ``pieces.new``; marks after a word are looked up apart from it."""
-        missing = pieces.missing(wanted)
-        if not missing:
-            return
-        ended = {p: m.groups() for p in missing if (m := _WORD_AND_MARKS.fullmatch(p))}
-        words = pieces.missing({word for word, _ in ended.values()})
-        others = [p for p in missing if p not in ended]
-        marks = list({marks for _, marks in ended.values()} - {""})
-        before = pieces.before
-        pieces.new.update(zip(words, self._raw_words([before + w for w in words])))
-        pieces.new.update(zip(others, self._raw([before + p for p in others])))
-        ids = dict(zip(marks, self._raw(marks))) | {"": b""}
-        known = pieces.new
-        known.update((p, known[word] + ids[m]) for p, (word, m) in ended.items())
+    def _spaced(self, text: str) -> bytes:
+        """Ids of a text with white space side by side; it is cut only where both neighbours are no white space."""
+        lines = [_SPACE.split(line) for line in _LINE_END.split(text)]
+        pieces = {("" if i == 0 else " ") + p for line in lines for i, p in enumerate(line)}
+        names = list(pieces)
+        ids = dict(zip(names, self._raw(names)))
+        return self.line_end.join(b"".join(ids[("" if i == 0 else " ") + p] for i, p in enumerate(line)) for line in lines)
+
+    def _learn(self, wanted: set[str]) -> None:
+        """Puts the ids of pieces into ``new``; marks after a word are looked up apart from it.
+
+        Pieces without a word or with white space at an end stay out: their ids
+        depend on what stands beside them.
+        """
+        kept = wanted & self.old.keys()
+        self.new.update((p, self.old[p]) for p in kept)
+        ended, words, others = [], [], []
+        for p in wanted - kept:
+            m = _WORD_AND_MARKS.fullmatch(p)
+            if not m:
+                body = p[1:] if p[:1] == "\n" else p
+                if body and not body[0].isspace() and not body[-1].isspace():
+                    others.append(p)
+            elif m[3]:
+                ended.append((p, m[1] + m[2], m[3]))
+            else:
+                words.append(p)
+        words += {w for _, w, _ in ended if w not in self.new}.difference(words)
+        lines = [w for w in words if w[0] == "\n"]
+        after = [w for w in words if w[0] != "\n"]
+        self.new.update(zip(after, self._raw_words([" " + w for w in after])))
+        self.new.update((w, self.line_end + x) for w, x in zip(lines, self._raw_words([w[1:] for w in lines])))
+        raw = self._raw([p[1:] if p[0] == "\n" else " " + p for p in others])
+        self.new.update((p, self.line_end + x if p[0] == "\n" else x) for p, x in zip(others, raw))
+        marks = list({m for _, _, m in ended})
+        ids = dict(zip(marks, self._raw(marks)))
+        self.new.update((p, self.new[w] + ids[m]) for p, w, m in ended)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -169,16 +190,3 @@ def encoder(path: str, spec: str | None = None) -> Encoder:
 
 def texts_of(batch: pa.Array) -> list[str]:
     return [t.decode("utf-8", "replace") if t else "" for t in batch.to_pylist()]
-
-
-def token_counts(spark: SparkSession, text: Column, path: str) -> Column:
-    """Ids in each text (bytes); the tokenizer file is sent from the driver."""
-    with open(path, encoding="utf-8") as f:
-        sent = spark.sparkContext.broadcast(f.read())
-
-    @F.arrow_udf("long")
-    def count(texts: pa.Array) -> pa.Array:
-        enc = encoder(path, sent.value)
-        return pa.array([len(ids) // enc.width for ids in enc.encode(texts_of(texts))], pa.int64())
-
-    return count(text)
