@@ -16,11 +16,12 @@ from bisect import bisect_left, insort
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import Workspace, utf8
-from quillframe.llm.encode import token_counts
+from quillframe.llm.encode import encoder
 
 #: Tokens in a sequence.
 CAPACITY = 2048
@@ -96,10 +97,24 @@ def pack(rows: list[tuple], capacity: int = CAPACITY) -> list[tuple]:
     return out
 
 
-def content_cluster(text_col: str = "text"):
-    """A key that texts share if they are equal but for case and white space; null without a word."""
-    plain = F.btrim(F.regexp_replace(F.lower(F.col(f"`{text_col}`")), r"\s+", " "))
-    return F.when(F.length(plain) > 0, F.xxhash64(plain))
+def content_cluster(text: bytes) -> int | None:
+    """A key that texts share if they are equal but for the case of A-Z and white space; None without a word."""
+    words = text.lower().split()
+    return xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63) if words else None
+
+
+def measured(spark: SparkSession, text: Column, tokenizer: str) -> Column:
+    """(n_tokens, cluster) of each text (bytes); the tokenizer file is sent from the driver."""
+    with open(tokenizer, encoding="utf-8") as f:
+        sent = spark.sparkContext.broadcast(f.read())
+
+    @F.arrow_udf("struct<n_tokens:long,cluster:long>")
+    def measure(texts: pa.Array) -> pa.Array:
+        enc, raw = encoder(tokenizer, sent.value), texts.to_pylist()
+        sizes = [len(ids) // enc.width for ids in enc.encode([t.decode("utf-8", "replace") for t in raw])]
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(map(content_cluster, raw), pa.int64())], ["n_tokens", "cluster"])
+
+    return measure(text)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_tokens: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster=None) -> DataFrame:
@@ -116,10 +131,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     ws = Workspace(docs.sparkSession, "packing")
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        (token_counts(docs.sparkSession, utf8(F.col(f"`{text_col}`")), tokenizer) + end_tokens).alias("n_tokens"),
+        measured(docs.sparkSession, utf8(F.col(f"`{text_col}`")), tokenizer).alias("m"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
-        (content_cluster(text_col) if cluster is None else cluster).cast("long").alias("cluster"),
+        (F.lit(None) if cluster is None else cluster).cast("long").alias("cluster"),
     )
+    own = F.col("m.cluster") if cluster is None else F.col("cluster")
+    rows = rows.select("doc_id", (F.col("m.n_tokens") + end_tokens).alias("n_tokens"), "source", own.alias("cluster"))
     rows = ws.save(rows, "sizes")
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     # a number per stored row, so that copies of a row are dealt like any others
