@@ -30,15 +30,16 @@ BLOCK_IDS = 1 << 19
 #: Keys in a bucket of the index, about.
 BUCKET_KEYS = 20_000
 
-PAYLOAD = "shard int, block int, n_ids long, width int, keys array<string>, counts array<long>, ids binary"
+PAYLOAD = "shard int, block int, n_ids long, width int, keys array<string>, ats array<long>, counts array<long>, ids binary"
 PLACES = "key string, shard int, block int, at long, n_tokens long, ids_crc32 long"
 INDEX = "bucket long, n_keys long, hash binary, prints binary, shards binary, blocks binary, ats binary, copies binary"
 
 
 def _block(shard: int, block: int, width: int, keys: list, ids: list[bytes]) -> pa.RecordBatch:
     counts = [len(x) // width for x in ids]
-    row = {"shard": shard, "block": block, "n_ids": sum(counts), "width": width, "keys": keys, "counts": counts, "ids": b"".join(ids)}
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()), ("keys", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
+    ats = np.concatenate([[0], np.cumsum(counts[:-1])]).astype(int).tolist()
+    row = {"shard": shard, "block": block, "n_ids": sum(counts), "width": width, "keys": keys, "ats": ats, "counts": counts, "ids": b"".join(ids)}
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()), ("keys", pa.list_(pa.string())), ("ats", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
     return pa.RecordBatch.from_pylist([row], schema)
 
 
@@ -77,32 +78,29 @@ def payload(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAYLOAD).parquet(f"{path}/payload")
 
 
-def document_places(spark: SparkSession, path: str, with_crc: bool = True) -> DataFrame:
-    """One row per stored document: its key, place, ids and, from the raw ids, their CRC-32 as 32-bit integers."""
+def places(spark: SparkSession, path: str) -> DataFrame:
+    """``(key, shard, block, at, n_tokens)`` of every stored document; the ids are not read."""
+    rows = payload(spark, path).select("shard", "block", F.explode(F.arrays_zip("keys", "ats", "counts")).alias("d"))
+    return rows.select(F.col("d.keys").alias("key"), "shard", "block", F.col("d.ats").alias("at"), F.col("d.counts").alias("n_tokens"))
+
+
+def checked_places(spark: SparkSession, path: str) -> DataFrame:
+    """The places with the CRC-32 of each document's stored ids as 32-bit integers."""
 
     def run(batch: pa.RecordBatch):
-        out = {k: [] for k in ("key", "shard", "block", "at", "n_tokens", "ids_crc32")}
         for row in batch.to_pylist():
-            at, width = 0, row["width"]
-            ids = np.frombuffer(row["ids"], f"<u{width}") if with_crc else None
-            for key, n in zip(row["keys"], row["counts"]):
-                crc = zlib.crc32(ids[at : at + n].astype("<u4").tobytes()) if with_crc else None
-                for name, value in zip(out, (key, row["shard"], row["block"], at, n, crc)):
-                    out[name].append(value)
-                at += n
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
+            ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
+            crcs = [zlib.crc32(ids[at : at + n]) for at, n in zip(row["ats"], row["counts"])]
+            n = len(crcs)
+            cols = [pa.array(row["keys"], pa.string()), pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(row["ats"], pa.int64()), pa.array(row["counts"], pa.int64()), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "shard", "block", "at", "n_tokens", "ids_crc32"])
 
-    rows = payload(spark, path)
-    if not with_crc:
-        rows = rows.withColumn("ids", F.lit(b""))
-    return map_batches(rows, run, PLACES)
+    return map_batches(payload(spark, path), run, PLACES)
 
 
 def write_index(spark: SparkSession, path: str) -> None:
     """The index over all non-null keys; a key's entry is its first copy, the copies follow one another."""
-    places = document_places(spark, path, with_crc=False).where("key IS NOT NULL")
-    first = places.groupBy("key").agg(F.min(F.struct("shard", "block", "at")).alias("p"), F.count(F.lit(1)).alias("copies"))
+    first = places(spark, path).where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("shard", "block", "at")).alias("p"), F.count(F.lit(1)).alias("copies"))
     buckets = _buckets(spark, path)
     keyed = first.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), F.struct("key", "p.shard", "p.block", "p.at", "copies").alias("e"))
     grouped = keyed.groupBy("bucket").agg(F.collect_list("e").alias("e"))
@@ -209,8 +207,7 @@ def stored_documents(spark: SparkSession, path: str) -> DataFrame:
     the lookup of the key leads to this very document: true for the first copy
     of every non-null key.
     """
-    places = document_places(spark, path)
-    found = lookup(spark, path, places.select("key")).select("key", "shard", "block", "at", F.lit(True).alias("indexed"))
+    found = lookup(spark, path, places(spark, path).select("key")).select("key", "shard", "block", "at", F.lit(True).alias("indexed"))
     starts = block_starts(spark, path)
-    rows = places.join(starts, ["shard", "block"]).join(found, ["key", "shard", "block", "at"], "left")
+    rows = checked_places(spark, path).join(starts, ["shard", "block"]).join(found, ["key", "shard", "block", "at"], "left")
     return rows.select("key", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", F.coalesce("indexed", F.lit(False)).alias("indexed"))
