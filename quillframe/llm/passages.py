@@ -43,7 +43,7 @@ RUN = 20
 #: Bits of the filter that tells executors which keys are shared; more keys only let more rows through.
 FILTER_BITS = 1 << 26
 #: Word hashes that a Python worker remembers.
-WORDS = 500_000
+WORDS = 200_000
 
 #: Bytes of texts that are read at once.
 STEP = 1 << 20
@@ -306,7 +306,7 @@ def _may_be_similar(x: str, y: str) -> Column:
 
 def paragraph_classes(sets: DataFrame, ws: Workspace) -> DataFrame:
     """``(node, component)`` of the paragraphs ``sets(key, shingles, bands)`` linked by similarity, from all pairs that collide in a band."""
-    own = F.struct("key", "n", "b0", "b1", "b2", "b3")
+    own = F.struct("key", "n", "b0", "b1", "b2", "b3", *[F.get("bands", i).alias(f"k{i}") for i in range(BANDS)])
     banded = _marked(sets).select(own.alias("x"), F.posexplode("bands").alias("band", "bucket"))
     buckets = banded.groupBy("band", "bucket").agg(F.min("x.key").alias("lo"), F.max("x.key").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
     buckets = ws.save(buckets.select("band", "bucket", "size"), "buckets")
@@ -326,7 +326,11 @@ def paragraph_classes(sets: DataFrame, ws: Workspace) -> DataFrame:
     rest = ws.save(named.join(open_, ["band", "bucket"]), "rest")
     out = rest.where("c <> most").select("band", "bucket", "x", F.col("c").alias("cx"))
     others = rest.select("band", "bucket", F.col("x").alias("y"), F.col("c").alias("cy"))
-    pairs = out.join(others, ["band", "bucket"]).where((F.col("cx") != F.col("cy")) & _may_be_similar("x", "y"))
+    # a pair that meets in several bands is looked at in the first of them
+    new = (F.col("cx") != F.col("cy")) & _may_be_similar("x", "y")
+    for i in range(BANDS - 1):
+        new &= (F.col("band") <= i) | (F.col(f"x.k{i}") != F.col(f"y.k{i}"))
+    pairs = out.join(others, ["band", "bucket"]).where(new)
     pairs = pairs.select(F.greatest("x.key", "y.key").alias("u"), F.least("x.key", "y.key").alias("v")).distinct()
     more = ws.save(_verified(pairs, sets), "more")
     return ws.save(connected_components(links.union(more), ws, "second"), "classes")
