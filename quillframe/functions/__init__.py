@@ -1,0 +1 @@
+"""Values, functions and aggregates of the dialect."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillframe.functions.values import BOOL, DOUBLE, INT, NULL, OTHER, TEXT, TYPES, Value, as_number, as_text, common_kind, null
+from quillframe.functions.values import DOUBLE, INT, NULL, OTHER, TEXT, TYPES, Value, as_number, as_text, common_kind, null
 from quillframe.plans.lexer import SqlError
 
 AGGREGATES = frozenset(("count", "sum", "avg", "min", "max"))
@@ -115,6 +115,3 @@ def aggregate(name: str, x: Value | None, distinct: bool, nocase: bool) -> Value
     if distinct:
         return Value(F.sum_distinct(n.col.cast("double")) / F.nullif(F.count_distinct(n.col), F.lit(0)), DOUBLE)
     return Value(F.avg(n.col), DOUBLE)
-
-
-__all__ = ["AGGREGATES", "BOOL", "SCALARS", "aggregate", "scalar"]

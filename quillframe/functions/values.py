@@ -25,7 +25,7 @@ TITLES = {INT: "INTEGER", DOUBLE: "DOUBLE", BOOL: "BOOLEAN", TEXT: "STRING"}
 
 @dataclass(frozen=True)
 class Value:
-    """A column and its kind; ``constant`` holds the value of a literal, ``simple`` says it cannot be null by itself."""
+    """A column and its kind; ``constant`` holds the value of a literal."""
 
     col: Column
     kind: str

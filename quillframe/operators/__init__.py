@@ -1,0 +1 @@
+"""Expressions, queries and table statements to DataFrames."""

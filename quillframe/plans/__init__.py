@@ -1,0 +1 @@
+"""Text to syntax trees, and the catalog."""

@@ -1,0 +1 @@
+"""Empty: the dialect has no streams."""
