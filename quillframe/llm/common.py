@@ -64,6 +64,21 @@ class Workspace:
             pass
 
 
+_held: dict[str, Callable[[], object]] = {}
+
+
+def claim(name: str, clear: Callable[[], object] = lambda: None) -> None:
+    """Called where an operator's Python work begins on an executor: what other operators remember there goes.
+
+    Spark uses Python workers again for later stages; without this the caches
+    of all operators that ran before would add up in them.
+    """
+    if name not in _held:
+        while _held:
+            _held.popitem()[1]()
+        _held[name] = clear
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function from one batch to some batches."""
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import utf8
+from quillframe.llm.common import claim, utf8
 
 #: Words in a window.
 WINDOW = 10
@@ -109,6 +109,7 @@ def _scanner(spark, items: list[tuple[str, bytes]], window: int):
 
     @F.arrow_udf(HITS_TYPE)
     def scan(texts: pa.Array) -> pa.Array:
+        claim("decontam", _built.clear)
         if name not in _built:
             _built.clear()
             _built[name] = build_tables(sent.value, window)

@@ -14,8 +14,10 @@ from operator import not_
 import numpy as np
 import pyarrow as pa
 
+from quillframe.llm.common import claim
+
 #: Pieces whose ids a Python worker remembers before it starts anew.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 
 #: Line ends and spaces between two other characters.
 _LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
@@ -183,6 +185,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str, spec: str | None = None) -> Encoder:
     """The encoder of this Python process for a tokenizer file."""
+    claim("encode", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path, spec)
     return _encoders[path]

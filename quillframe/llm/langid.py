@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import Workspace, map_batches, utf8
+from quillframe.llm.common import Workspace, claim, map_batches, utf8
 
 ORDER = 4
 #: Most n-grams of the highest order in the model (over all languages); beyond it the rarest counts are left out.
@@ -71,6 +71,7 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """``(lang, gram, n)`` over all rows with a language."""
 
     def run(batch: pa.RecordBatch):
+        claim("langid")
         waiting: dict[str, list[np.ndarray]] = {}
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -236,6 +237,7 @@ def score(docs: DataFrame, model: LanguageModel | None, text_col: str = "text",
 
     @F.arrow_udf("struct<lang_pred:string,score:double,xent:double,n_symbols:long>")
     def run(texts: pa.Array) -> pa.Array:
+        claim("langid")
         model, texts = sent.value, texts.to_pylist()
         if model is None:
             sizes = np.array([len(grams(t)) for t in texts], np.int64)

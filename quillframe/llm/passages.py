@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import Workspace, map_batches, utf8
+from quillframe.llm.common import Workspace, claim, map_batches, utf8
 from quillframe.llm.components import connected_components
 
 SHINGLE = 5
@@ -189,6 +189,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _keys_of(batch: pa.RecordBatch):
     """Rows (band, key, value): pieces and whole paragraphs with their document, bands with their paragraph."""
+    claim("passages", _hashes.clear)
     docs, texts = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist()
     for a, b in _some(texts):
         t = Texts(texts[a:b])
@@ -234,6 +235,7 @@ def _occurrences(sent):
     schema = pa.schema(list(zip([x.split()[0] for x in OCCURRENCE.split(", ")], kinds)))
 
     def run(batch: pa.RecordBatch):
+        claim("passages", _hashes.clear)
         pieces, wholes, buckets = sent.value
         docs, keys, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
         for a, b in _some(texts):
