@@ -8,7 +8,11 @@ language) beside each hash and the back-off weights of each context; a text is
 scored for all languages by binary search in these arrays.
 
 The counts come from all training rows, summed where they lie before they are
-shuffled. The prediction is the language of least cross-entropy per symbol. A
+shuffled, and every one of them is in the model. A model is built and searched
+in shards by the two middle symbols of the n-grams: the contexts, the shorter
+n-grams and the continuation counts of order three lie in the same shard, and
+what is shorter is in all of them. The driver and each worker hold one shard at
+a time. The prediction is the language of least cross-entropy per symbol. A
 prediction is rejected where its cross-entropy exceeds what training rows of
 like length showed for that language by ``REJECT_SD`` standard deviations.
 """
@@ -19,20 +23,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import Workspace, claim, map_batches, utf8
 
 ORDER = 4
-#: Most n-grams of the highest order in the model (over all languages); beyond it the rarest counts are left out.
-MODEL_GRAMS = 4_000_000
+#: Entries (n-grams of the highest order times languages) of a shard; more n-grams make more shards.
+SHARD = 8_000_000
 #: Symbols looked at in one step.
 STEP = 1 << 20
 #: Standard deviations above the mean of the training rows at which a prediction is rejected.
 REJECT_SD = 6.0
 #: Training rows that a class of length must have to be calibrated by itself.
 CLASS_ROWS = 30
+#: Pairs of middle symbols.
+CELLS = 1 << 16
 UNKNOWN = "und"
 
 _alphabet: list[np.ndarray] = []
@@ -103,10 +111,21 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 
 def _discount(counts: np.ndarray) -> float:
-    once, twice = (counts == 1).sum(), (counts == 2).sum()
+    return _discount_of((counts == 1).sum(), (counts == 2).sum())
+
+
+def _discount_of(once: int, twice: int) -> float:
     return float(once / (once + 2 * twice)) if once and twice else 0.75
 
 
+@dataclass
+class Whole:
+    """What the shards of a model share: counts of pairs (sorted codes, a column per language), discounts of orders three and four."""
+
+    pairs: tuple[np.ndarray, np.ndarray]
+    discounts: dict[int, np.ndarray]
+
+
 @dataclass
 class LanguageModel:
     """Sorted hashes by order, and log probabilities and back-off weights by language."""
@@ -116,10 +135,15 @@ class LanguageModel:
     logp: list[np.ndarray]
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
+    #: The middle symbols of the n-grams that are searched here, from and to.
+    cells: tuple[int, int] = (0, CELLS)
 
     @classmethod
-    def build(cls, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> LanguageModel:
-        """From the counts of n-grams of highest order: ``lang`` numbers the language of each."""
+    def build(cls, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, cells: tuple[int, int] = (0, CELLS), whole: Whole | None = None) -> LanguageModel:
+        """From the counts of n-grams of highest order: ``lang`` numbers the language of each.
+
+        Counts of some ``cells`` only need what the ``whole`` corpus says.
+        """
         top, at = np.unique(gram.astype(np.uint32), return_inverse=True)
         counts = np.zeros((len(top), len(langs)), np.float64)
         np.add.at(counts, (at, lang), n)
@@ -127,9 +151,12 @@ class LanguageModel:
         for order in range(ORDER - 1, 0, -1):
             # continuation counts: how many different symbols stand before
             shorter = keys[0] & np.uint32((1 << 8 * order) - 1)
-            found = np.unique(shorter) if order > 1 else np.arange(256, dtype=np.uint32)
-            counts = np.zeros((len(found), len(langs)))
-            np.add.at(counts, np.searchsorted(found, shorter), table[0] > 0)
+            if order == 2 and whole:
+                found, counts = whole.pairs
+            else:
+                found = np.unique(shorter) if order > 1 else np.arange(256, dtype=np.uint32)
+                counts = np.zeros((len(found), len(langs)))
+                np.add.at(counts, np.searchsorted(found, shorter), table[0] > 0)
             keys.insert(0, found)
             table.insert(0, counts)
         logp, contexts, backoff = [], [], []
@@ -139,7 +166,7 @@ class LanguageModel:
             total, kinds = np.zeros((2, len(context), len(langs)))
             np.add.at(total, at, counts)
             np.add.at(kinds, at, counts > 0)
-            d = np.array([_discount(counts[:, i]) for i in range(len(langs))])
+            d = whole.discounts[order] if whole and order > 2 else np.array([_discount(counts[:, i]) for i in range(len(langs))])
             weight = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
             suffix = np.zeros(len(found), np.int64) if order == 1 else np.searchsorted(keys[order - 2], found & np.uint32((1 << 8 * (order - 1)) - 1))
             p = np.maximum(counts - d, 0) / np.maximum(total[at], 1) + weight[at] * below[suffix]
@@ -147,7 +174,7 @@ class LanguageModel:
             contexts.append(context)
             backoff.append(np.log2(weight).astype(np.float32))
             below = p
-        return cls(langs, keys, logp, contexts, backoff)
+        return cls(langs, keys, logp, contexts, backoff, cells)
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
         """A row per n-gram, a column per language."""
@@ -170,8 +197,8 @@ class LanguageModel:
             code = code & np.uint32((1 << 8 * (order - 1)) - 1)
         return out
 
-    def cross_entropies(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per symbol by text and language, and the symbols of each text."""
+    def bits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of the n-grams in this shard's cells by text and language, and all symbols of each text."""
         bits = np.zeros((len(texts), len(self.langs)))
         sizes = np.zeros(len(texts), np.int64)
         waiting: list[tuple[int, np.ndarray]] = []
@@ -188,6 +215,9 @@ class LanguageModel:
         for i, text in enumerate(texts):
             g = grams(text)
             sizes[i] = len(g)
+            if self.cells != (0, CELLS):
+                cell = g >> np.uint32(8) & np.uint32(CELLS - 1)
+                g = g[(cell >= self.cells[0]) & (cell < self.cells[1])]
             for at in range(0, len(g), STEP):
                 waiting.append((i, g[at : at + STEP]))
                 size += len(waiting[-1][1])
@@ -196,35 +226,88 @@ class LanguageModel:
                     size = 0
         if waiting:
             settle()
+        return bits, sizes
+
+
+@dataclass
+class Shards:
+    """A model in broadcast shards."""
+
+    langs: list[str]
+    sent: list[Broadcast]
+
+    def cross_entropies(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits per symbol by text and language, and the symbols of each text."""
+        bits = 0.0
+        for shard in self.sent:
+            some, sizes = shard.value.bits(texts)
+            bits = bits + some
+            if len(self.sent) > 1:
+                # the next one takes its place; it is read again from the worker's disk
+                del shard._value
         return bits / np.maximum(sizes, 1)[:, None], sizes
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", grams_kept: int = MODEL_GRAMS) -> LanguageModel | None:
+def _whole(counts: DataFrame, langs: list[str]) -> Whole:
+    """From all counts: continuation counts of pairs and the discounts, which need every n-gram of their order."""
+
+    def low(order: int):
+        return F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")
+
+    index = {name: i for i, name in enumerate(langs)}
+    triples = counts.groupBy("lang", low(3)).agg(F.count(F.lit(1)).alias("n"))
+    discounts = {}
+    for order, rows in ((4, counts), (3, triples)):
+        discounts[order] = np.full(len(langs), 0.75)
+        for r in rows.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect():
+            discounts[order][index[r.lang]] = _discount_of(r.once, r.twice)
+    pairs = triples.groupBy("lang", low(2)).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    found, at = np.unique(pairs["gram"].to_numpy().astype(np.uint32), return_inverse=True)
+    table = np.zeros((len(found), len(langs)))
+    table[at, _numbers(pairs["lang"], langs)] = pairs["n"].to_numpy()
+    return Whole((found, table), discounts)
+
+
+def _numbers(names: pa.ChunkedArray, langs: list[str]) -> np.ndarray:
+    return pc.index_in(names, pa.array(langs, pa.string())).to_numpy().astype(np.int64)
+
+
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_size: int | None = None) -> Shards | None:
     """A model of all languages named in ``lang_col``; None if no row names one or has a letter.
 
-    Rows without a language or a letter add nothing; repeated rows count as often as they occur.
+    Rows without a language or a letter add nothing; repeated rows count as
+    often as they occur. No count is left out: ``shard_size`` bounds what the
+    driver and a worker hold at once, not the model.
     """
-    ws = Workspace(docs.sparkSession, "langid")
+    spark = docs.sparkSession
+    ws = Workspace(spark, "langid")
     counts = ws.save(count_grams(docs, lang_col, text_col), "grams")
-    # the least count that keeps the model within its bound; 1 unless the corpus has more kinds of n-grams
-    sizes = counts.groupBy(F.floor(F.log2("n")).alias("scale")).count().collect()
-    least, kept = 1, 0
-    for row in sorted(sizes, key=lambda r: -r.scale):
-        kept += row["count"]
-        if kept > grams_kept:
-            least = 1 << (row.scale + 1)
-            break
-    got = counts.where(F.col("n") >= least).toArrow().combine_chunks()
-    ws.close()
-    if not got.num_rows:
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    if not langs:
+        ws.close()
         return None
-    names = got["lang"].to_numpy(zero_copy_only=False)
-    langs = sorted(set(names))
-    index = {name: i for i, name in enumerate(langs)}
-    return LanguageModel.build(langs, np.array([index[x] for x in names]), got["gram"].to_numpy(), got["n"].to_numpy())
+    whole = _whole(counts, langs)
+    cell = F.shiftright("gram", 8).bitwiseAND(F.lit(CELLS - 1))
+    sizes = np.zeros(CELLS, np.int64)
+    for r in counts.groupBy(cell.alias("cell")).count().collect():
+        sizes[r.cell] = r["count"]
+    most = (SHARD if shard_size is None else shard_size) // len(langs)
+    starts, size = [0], 0
+    for i in np.flatnonzero(sizes).tolist():
+        if size and size + sizes[i] > most:
+            starts.append(i)
+            size = 0
+        size += sizes[i]
+    sent = []
+    for first, after in zip(starts, [*starts[1:], CELLS]):
+        got = counts.where((cell >= first) & (cell < after)).toArrow()
+        model = LanguageModel.build(langs, _numbers(got["lang"], langs), got["gram"].to_numpy(), got["n"].to_numpy(), (first, after), whole)
+        sent.append(spark.sparkContext.broadcast(model))
+    ws.close()
+    return Shards(langs, sent)
 
 
-def score(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", out: str = "lid") -> DataFrame:
+def score(docs: DataFrame, model: Shards | None, text_col: str = "text", out: str = "lid") -> DataFrame:
     """``docs`` with a struct column ``out`` of (lang_pred, score, xent, n_symbols).
 
     ``score`` is the posterior of the prediction among the languages, from the
@@ -233,12 +316,10 @@ def score(docs: DataFrame, model: LanguageModel | None, text_col: str = "text",
     and a null cross-entropy. Ties go to the first language by name. A column
     already named ``out`` is replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
     @F.arrow_udf("struct<lang_pred:string,score:double,xent:double,n_symbols:long>")
     def run(texts: pa.Array) -> pa.Array:
         claim("langid")
-        model, texts = sent.value, texts.to_pylist()
+        texts = texts.to_pylist()
         if model is None:
             sizes = np.array([len(grams(t)) for t in texts], np.int64)
             langs, best, posterior, there = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)

@@ -113,6 +113,27 @@ def test_step_sizes_agree(spark, monkeypatch):
     assert sum(whole.values()) == sum(len(langid.grams((r.text or "").encode())) for r in df.where("lang IS NOT NULL").collect())
 
 
+def test_shards_hold_every_count(spark):
+    df, rows = frame(spark)
+    odd = spark.createDataFrame([(700 + i, "zażółć gęślą %s jaźń" % chr(0x4E00 + i), "zz", "a", "b") for i in range(3)], SCHEMA)
+    df = df.union(odd).where("doc_id <> 503")
+    by_lang = defaultdict(list)
+    for r in df.where("lang IS NOT NULL").collect():
+        by_lang[r.lang].append(r.text or "")
+    brute = brute_model(by_lang)
+    texts = ["the der zażółć 丂 there", "", "nicht Öl", "zz qq"]
+    for size in (None, 60, 3):
+        model = langid.train(df, shard_size=size)
+        assert model.langs == sorted(brute) and (len(model.sent) > 1) == (size is not None)
+        bits, sizes = model.cross_entropies([t.encode() for t in texts])
+        scored = langid.score(spark.createDataFrame([(t,) for t in texts], "text string"), model)
+        least = {r.text: r.lid.xent for r in scored.collect()}
+        for t, got, n in zip(texts, bits, sizes):
+            want = [-sum(brute_logp(brute[x], int(g)) for g in langid.grams(t.encode())) / max(n, 1) for x in model.langs]
+            assert np.allclose(got, want, atol=1e-3)
+            assert least[t] is None if not n else abs(least[t] - min(want)) < 1e-3
+
+
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
 def test_held_out_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
