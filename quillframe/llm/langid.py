@@ -13,8 +13,10 @@ in shards by the two middle symbols of the n-grams: the contexts, the shorter
 n-grams and the continuation counts of order three lie in the same shard, and
 what is shorter is in all of them. The driver and each worker hold one shard at
 a time. The prediction is the language of least cross-entropy per symbol. A
-prediction is rejected where its cross-entropy exceeds what training rows of
-like length showed for that language by ``REJECT_SD`` standard deviations.
+prediction is rejected where its cross-entropy exceeds the median of rows of
+like length whose language is known to be this one, and which a model learned
+without them has scored, by ``REJECT_SD`` robust standard deviations and what a
+short text varies by.
 """
 
 from __future__ import annotations
@@ -35,9 +37,13 @@ ORDER = 4
 SHARD = 8_000_000
 #: Symbols looked at in one step.
 STEP = 1 << 20
-#: Standard deviations above the mean of the training rows at which a prediction is rejected.
+#: Standard deviations (from the median absolute deviation) above the median of the calibration rows at which a prediction is rejected.
 REJECT_SD = 6.0
-#: Training rows that a class of length must have to be calibrated by itself.
+#: Bits over the square root of the symbols that a limit is higher by: three standard errors of a mean of symbols that vary by 2.5 bits.
+SAMPLING = 7.5
+#: One in so many texts is for calibration.
+FOLDS = 5
+#: Calibration texts that a class of length must have to be calibrated by itself.
 CLASS_ROWS = 30
 #: Pairs of middle symbols.
 CELLS = 1 << 16
@@ -341,16 +347,40 @@ def _length_class(n):
     return F.floor(F.log2(n + F.lit(1)))
 
 
-def calibrate(scored: DataFrame, out: str = "lid") -> DataFrame:
-    """``(lang_pred, class, most)``: the cross-entropy above which a prediction is rejected, from scored training rows.
+def _typical(rows: DataFrame, *keys: str) -> DataFrame:
+    """Median ``mid`` of ``x``, median absolute deviation ``mad`` and count ``n`` by keys."""
 
-    One row per language and class of length (powers of two) with ``CLASS_ROWS``
-    rows, and one per language with a null class for the rest.
+    def median(x):
+        return F.percentile_approx(x, 0.5, 10_000)
+
+    mids = rows.groupBy(*keys).agg(median(F.col("x")).alias("mid"), F.count(F.lit(1)).alias("n"))
+    off = rows.join(F.broadcast(mids), list(keys))
+    return off.groupBy(*keys).agg(median(F.abs(F.col("x") - F.col("mid"))).alias("mad"), F.first("mid").alias("mid"), F.first("n").alias("n"))
+
+
+def calibrate(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """``(lang_pred, class, most)``: the cross-entropy above which a long text's prediction is rejected, from training rows.
+
+    A model of the other texts scores one text in ``FOLDS``, by hash; those
+    whose prediction is their language count, each once, however often they
+    occur. Medians keep bad texts among them from widening the limits. One row
+    per language and class of length (powers of two) with ``CLASS_ROWS`` texts,
+    and one per language with a null class for the rest. A class spreads at least as its
+    language does, so that a group of near copies does not narrow it. A
+    language without such texts has no limit.
     """
-    rows = scored.where(F.col(f"{out}.xent").isNotNull()).select(f"{out}.lang_pred", _length_class(F.col(f"{out}.n_symbols")).alias("class"), F.col(f"{out}.xent").alias("x"))
-    most = F.avg("x") + REJECT_SD * F.coalesce(F.stddev_pop("x"), F.lit(0.0)) + F.lit(0.05)
-    fine = rows.groupBy("lang_pred", "class").agg(most.alias("most"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= CLASS_ROWS).drop("n")
-    return fine.unionByName(rows.groupBy("lang_pred").agg(most.alias("most")).withColumn("class", F.lit(None).cast("bigint")))
+    ws = Workspace(docs.sparkSession, "langid")
+    lang, text = F.col(f"`{lang_col}`").cast("string").alias("_lang"), F.col(f"`{text_col}`").alias("_text")
+    rows = docs.select(lang, text, F.xxhash64(utf8(text)).alias("_key")).where("_lang IS NOT NULL")
+    own = F.pmod(F.col("_key"), F.lit(FOLDS)) == 0
+    scored = score(rows.where(own), train(rows.where(~own), "_lang", "_text"), "_text", "_lid").where("_lid.lang_pred = _lang AND _lid.xent IS NOT NULL")
+    seen = scored.select("_lid.lang_pred", _length_class(F.col("_lid.n_symbols")).alias("class"), F.col("_lid.xent").alias("x"), "_key")
+    seen = ws.save(seen.groupBy("_key", "lang_pred").agg(F.first("class").alias("class"), F.first("x").alias("x")), "calibration")
+    whole = _typical(seen, "lang_pred")
+    fine = _typical(seen, "lang_pred", "class").where(F.col("n") >= CLASS_ROWS).join(F.broadcast(whole.select("lang_pred", F.col("mad").alias("all_mad"))), "lang_pred")
+    sd = REJECT_SD * 1.4826
+    fine = fine.select("lang_pred", "class", (F.col("mid") + sd * F.greatest("mad", "all_mad") + F.lit(0.05)).alias("most"))
+    return fine.unionByName(whole.select("lang_pred", F.lit(None).cast("bigint").alias("class"), (F.col("mid") + sd * F.col("mad") + F.lit(0.05)).alias("most")))
 
 
 def mark_rejected(scored: DataFrame, limits: DataFrame, out: str = "lid", flag: str = "rejected") -> DataFrame:
@@ -362,6 +392,7 @@ def mark_rejected(scored: DataFrame, limits: DataFrame, out: str = "lid", flag:
         return scored.withColumn(flag, F.col(f"{out}.n_symbols") == 0)
     own = F.try_element_at(cases, F.concat_ws(" ", lid, _length_class(F.col(f"{out}.n_symbols")).cast("string")))
     limit = F.coalesce(own, F.try_element_at(cases, F.concat(lid, F.lit(" "))))
+    limit += F.lit(SAMPLING) / F.sqrt(F.greatest(F.col(f"{out}.n_symbols"), F.lit(1)))
     return scored.withColumn(flag, (F.col(f"{out}.n_symbols") == 0) | F.coalesce(F.col(f"{out}.xent") > limit, F.lit(False)))
 
 
@@ -373,15 +404,12 @@ def held_out(id_col: str = "doc_id", folds: int = 5):
 def evaluate(docs: DataFrame, ws: Workspace) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, xent, rejected; learned and calibrated on the other folds."""
     rows = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
-    model = train(rows.where("NOT held_out"))
-    scored = ws.save(score(rows.drop("lang"), model).drop("text"), "scored")
-    limits = calibrate(scored.where("NOT held_out"))
-    return mark_rejected(scored, limits).select("doc_id", "held_out", "lid.lang_pred", "lid.score", "lid.xent", "rejected")
+    training = rows.where("NOT held_out")
+    scored = score(rows.drop("lang"), train(training)).drop("text")
+    return mark_rejected(scored, calibrate(training)).select("doc_id", "held_out", "lid.lang_pred", "lid.score", "lid.xent", "rejected")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their own columns; learned and calibrated on all of them."""
+    """The rows of ``docs`` that are not rejected, with their own columns; learned and calibrated on those that name a language."""
     scored = score(docs, train(docs), out="_lid")
-    ws = Workspace(docs.sparkSession, "langid")
-    kept = ws.save(scored.select("_lid"), "scored")
-    return mark_rejected(scored, calibrate(kept, "_lid"), "_lid", "_rejected").where("NOT _rejected").drop("_lid", "_rejected")
+    return mark_rejected(scored, calibrate(docs), "_lid", "_rejected").where("NOT _rejected").drop("_lid", "_rejected")

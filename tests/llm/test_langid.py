@@ -113,6 +113,17 @@ def test_step_sizes_agree(spark, monkeypatch):
     assert sum(whole.values()) == sum(len(langid.grams((r.text or "").encode())) for r in df.where("lang IS NOT NULL").collect())
 
 
+@pytest.mark.parametrize("share", [0.05, 0.15, 0.3])
+def test_groups_of_bad_texts_are_rejected(spark, share):
+    rng = random.Random(3)
+    vocab = "the of and there thing that with have this from they would what about which when make like time just".split()
+    good = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(10, 60))), rng.choice(["xx", "xx", None]), "a", "b") for i in range(600)]
+    bad = int(len(good) * share / (1 - share))
+    junk = [(10_000 + i, "".join(rng.choice("bcdfgjkqvwxz ") for _ in range(rng.randint(60, 300))), None, "a", "b") for i in range(bad)]
+    df = spark.createDataFrame(good + junk, SCHEMA)
+    assert {r.doc_id for r in langid.keep_identified(df).collect()} == {r[0] for r in good}
+
+
 def test_shards_hold_every_count(spark):
     df, rows = frame(spark)
     odd = spark.createDataFrame([(700 + i, "zażółć gęślą %s jaźń" % chr(0x4E00 + i), "zz", "a", "b") for i in range(3)], SCHEMA)
