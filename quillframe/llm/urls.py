@@ -73,17 +73,15 @@ def page_key(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(F.translate(cut, UPPER, LOWER), F.substr(rest, F.length(cut) + 1)))
 
 
-def link_target(html: Column) -> Column:
-    """The target of a page's canonical link, or else of its refresh redirect; null if there is neither."""
+def link_targets(html: Column) -> Column:
+    """The targets of all of a page's canonical links and refresh redirects, as an array."""
     quoted = r"""\s*=\s*["']?\s*([^"'\s>]+)"""
-    canonical = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref""" + quoted, 1)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl""" + quoted, 1)
+    canonical = F.regexp_extract_all(html, F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref""" + quoted), F.lit(1))
+    refresh = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl""" + quoted), F.lit(1))
+    none = F.array().cast("array<string>")
     # most pages have neither word; looking for them first is cheap
-    target = F.coalesce(
-        F.when(html.rlike("(?i)canonical"), F.nullif(canonical, F.lit(""))),
-        F.when(html.rlike("(?i)http-equiv"), F.nullif(refresh, F.lit(""))),
-    )
-    return F.replace(target, F.lit("&amp;"), F.lit("&"))
+    found = F.concat(F.when(html.rlike("(?i)canonical"), canonical).otherwise(none), F.when(html.rlike("(?i)http-equiv"), refresh).otherwise(none))
+    return F.transform(found, lambda target: F.replace(target, F.lit("&amp;"), F.lit("&")))
 
 
 def resolve(base: Column, target: Column) -> Column:
@@ -98,9 +96,9 @@ def resolve(base: Column, target: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(src, dst)``: absolute URLs joined by the canonical or redirect link of each page that has one."""
-    url = F.col(f"`{url_col}`")
-    rows = pages.select(url.alias("src"), resolve(url, link_target(F.col(f"`{html_col}`"))).alias("dst"))
+    """``(src, dst)``: absolute URLs joined by the canonical and redirect links of each page, a row for each link."""
+    rows = pages.select(F.col(f"`{url_col}`").alias("src"), F.explode(link_targets(F.col(f"`{html_col}`"))).alias("target"))
+    rows = rows.select("src", resolve(F.col("src"), F.col("target")).alias("dst"))
     return rows.where("src IS NOT NULL AND dst IS NOT NULL")
 
 

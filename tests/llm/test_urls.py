@@ -105,6 +105,30 @@ def test_links_of_pages(spark):
     assert [k for k, v in verdicts.items() if v == "block"] == [1, 5]
 
 
+def test_every_link_of_a_page_counts(spark):
+    refresh = '<meta http-equiv="refresh" content="0; url=%s">'
+    pages = [
+        (1, "http://a.org/x", '<link rel="canonical" href="/x">' + refresh % "http://s.net/es/1"),
+        (2, "http://b.org/x", '<link rel="canonical" href="mailto:x">' + refresh % "http://s.net/es/2"),
+        (3, "http://c.org/x", '<link rel="canonical" href="/y"><link rel="canonical" href="http://s.net/fr/">'),
+        (4, "http://c.org/y", "<p>linked by a page that also links to a blocked one"),
+        (5, "http://d.org/x", refresh % "/y" + refresh % "/z"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {(r.src, r.dst) for r in urls.page_links(df).collect()}
+    assert got == {
+        ("http://a.org/x", "http://a.org/x"),
+        ("http://a.org/x", "http://s.net/es/1"),
+        ("http://b.org/x", "http://s.net/es/2"),
+        ("http://c.org/x", "http://c.org/y"),
+        ("http://c.org/x", "http://s.net/fr/"),
+        ("http://d.org/x", "http://d.org/y"),
+        ("http://d.org/x", "http://d.org/z"),
+    }
+    verdicts = {r[0]: r[4] for r in result(spark, pages)}
+    assert [k for k, v in verdicts.items() if v == "block"] == [1, 2, 3, 4]
+
+
 def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "http://a.org", "")], "page_id long, url string, html string")
     plan = urls.report(df, RULES)._jdf.queryExecution().toString()
