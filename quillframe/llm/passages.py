@@ -1,7 +1,7 @@
 """Substring deduplication: paragraphs by MinHash banding, and the pieces of passages inside them.
 
 Equal paragraphs (lines of at least ``RUN`` words) share the key of their
-shingles; near-equal ones of at least ``PARAGRAPH`` words collide in at least one of eight bands of three MinHash values; at a Jaccard similarity of 0.8
+shingles; near-equal ones collide in at least one of eight bands of three MinHash values; at a Jaccard similarity of 0.8
 over five-word shingles all but 0.3 % do. Each paragraph is compared, by the
 exact Jaccard similarity, with the leader of each of its buckets. Where a bucket
 then still holds several components, every member outside the largest is
@@ -34,8 +34,6 @@ from quillframe.llm.components import connected_components
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 8, 3
-#: Least words of a paragraph that is compared by similarity.
-PARAGRAPH = 40
 #: Word pairs on either side that a cut's hash is less than.
 REACH = 4
 #: Least words of what is removed: of a paragraph that other documents hold, or of a run of at least two pieces.
@@ -158,7 +156,6 @@ class Texts:
         self.starts = np.array(starts)
         self.hashes = word_hashes(words)
         self.line_text = np.array(line_text, np.int64)
-        self.compared = np.array([b - a >= PARAGRAPH for a, b in self.lines], bool)
         self.firsts = cuts(self.hashes, self.starts[:-1][np.diff(self.starts) > 0])
         self.stops = np.append(self.firsts[1:], len(self.hashes))
         self.piece_text = np.searchsorted(self.starts, self.firsts, "right") - 1
@@ -166,9 +163,8 @@ class Texts:
         self.sets, self.ids = _paragraphs(self.hashes, self.lines)
 
     def bands(self) -> np.ndarray:
-        """Band keys of the paragraphs that are compared."""
-        sets = [s for s, ok in zip(self.sets, self.compared) if ok]
-        return band_keys(sets) if sets else np.zeros((0, BANDS), np.uint64)
+        """Band keys of the paragraphs."""
+        return band_keys(self.sets) if self.sets else np.zeros((0, BANDS), np.uint64)
 
 
 def _some(texts: list[bytes]):
@@ -197,7 +193,7 @@ def _keys_of(batch: pa.RecordBatch):
         found = t.bands()
         bands = [np.full(len(t.pieces), _PIECE), np.full(len(t.ids), _WHOLE), *[np.full(len(found), i, np.int8) for i in range(BANDS)]]
         keys = [t.pieces, t.ids, *found.T]
-        values = [own[t.piece_text], own[t.line_text], *[t.ids[t.compared]] * BANDS]
+        values = [own[t.piece_text], own[t.line_text], *[t.ids] * BANDS]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands)), _signed(np.concatenate(keys)), _signed(np.concatenate(values))], ["band", "key", "value"])
 
 
@@ -247,13 +243,11 @@ def _occurrences(sent):
             cols = [docs[a:b][at], keys[a:b][at], *places, t.pieces[i].view(np.int64)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(i), kinds[6]), pa.nulls(len(i), kinds[7])], schema=schema)
             found = t.bands()
-            near = np.zeros(len(t.ids), bool)
-            near[t.compared] = _passes(buckets, found).any(axis=1)
-            j = np.flatnonzero(near | _passes(wholes, t.ids))
-            at, place = t.line_text[j], np.cumsum(t.compared) - 1
+            j = np.flatnonzero(_passes(buckets, found).any(axis=1) | _passes(wholes, t.ids))
+            at = t.line_text[j]
             lines = (np.array([t.lines[k] for k in j], np.int64).reshape(-1, 2) - t.starts[at][:, None]).astype(np.int32)
             sets = [np.unique(t.sets[k]).tobytes() for k in j]
-            bands = [found[place[k]].view(np.int64) if t.compared[k] else np.zeros(0, np.int64) for k in j]
+            bands = [found[k].view(np.int64) for k in j]
             cols = [pa.array(docs[a:b][at]), pa.array(keys[a:b][at]), pa.nulls(len(j), kinds[2]), pa.array(lines[:, 0]), pa.array(lines[:, 1])]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(t.ids[j].view(np.int64)), pa.array(sets, kinds[6]), pa.array(bands, kinds[7])], schema=schema)
 

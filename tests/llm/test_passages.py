@@ -147,3 +147,18 @@ def test_edges(spark):
     assert sorted(by[5]) == sorted([t, ""]) and by[7] == ["", ""] and by[13] == [""]
     assert passages.report(frame(spark, rows[:0])).collect() == []
     assert passages.report(frame(spark, rows)).columns == ["doc_id", "text", "n_words", "n_removed", "n_spans", "changed"]
+
+
+def test_short_paragraphs_are_compared(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k, n in enumerate((21, 24, 30, 39)):
+        line = words(say(rng, n))
+        for m, edit in enumerate((line, line[:-1] + ["edited"], line + ["added"], ["added"] + line)):
+            both, all_ = len(line) - 4 - (m == 1), len(line) - 4 + (m > 0)
+            assert both >= 0.8 * all_
+            i = 10 * k + m
+            rows.append((i, say(rng, 30) + "\n" + " ".join(edit) + "\n" + say(rng, 30)))
+            want[i] = len(edit) if m else 0
+    got = cut(spark, rows)
+    assert {i: r.passages.n_removed for i, r in got.items()} == want
