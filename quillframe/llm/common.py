@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a side that is broadcast, at most; beyond it the join is a shuffle.
+BROADCAST_BYTES = 32 << 20
+
 _own_root: list[str] = []
 
 
@@ -22,11 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster shares, from ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the setting is absent (local tests).
+    A folder of our own is made only where the setting is absent and all of
+    Spark is this one process (local tests); elsewhere its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="quillframe-"))
     return "file://" + _own_root[0]
@@ -76,9 +85,35 @@ def claim(name: str, clear: Callable[[], object] = lambda: None) -> None:
     if name not in _held:
         while _held:
             _held.popitem()[1]()
+        release()
         _held[name] = clear
 
 
+def release() -> None:
+    """Gives memory that Python no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def small(df: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """A stored table, to be broadcast if its rows, of ``row_bytes`` each and some overhead, come to ``BROADCAST_BYTES`` at most."""
+    size = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    total = df.agg(F.coalesce(F.sum(size + F.lit(48)), F.lit(0)).alias("n")).first().n
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function from one batch to some batches."""
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import Workspace, claim, map_batches, utf8
+from quillframe.llm.common import Workspace, claim, fresh, map_batches, small, utf8
 from quillframe.llm.components import connected_components
 
 #: Fingerprints link at so many differing bits or fewer; grid and midpoints rest on this number.
@@ -34,6 +34,8 @@ BLOCK = 1 << 15
 #: Segments (of 2 bits) in each of the six groups.
 GROUPS = (6, 6, 5, 5, 5, 5)
 LOW_BITS = 0x5555555555555555
+#: Rows of one fingerprint from which its copies are looked up in a broadcast table; the table holds one in so many rows at most.
+HOT = 100_000
 
 
 def signed(x: int) -> int:
@@ -163,8 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ws = Workspace(docs.sparkSession, "simhash")
     fps = ws.save(fingerprints(docs, id_col, text_col), "fps")
-    of = fingerprint_classes(fps, ws)
-    return fps.join(of, "fp").select(
+    return with_classes(fps, fingerprint_classes(fps, ws)).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -173,13 +174,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def fingerprint_classes(fps: DataFrame, ws: Workspace) -> DataFrame:
-    """``(fp, root, component_id, n_fingerprints)`` of every fingerprint in ``fps(doc_id, fp)``; ``root`` names the class."""
-    distinct = ws.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    """``(fp, n_rows, root, component_id, n_fingerprints)`` of every fingerprint in ``fps(doc_id, fp)``; ``root`` names the class."""
+    distinct = ws.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows")), "distinct")
     classes = ws.save(connected_components(links(distinct, ws), ws), "classes")
-    joined = distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    joined = distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n_rows", "least", F.coalesce("component", "fp").alias("root"))
     joined = ws.save(joined, "joined")
     first = ws.save(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_fingerprints")), "first")
-    return ws.save(joined.join(first, "root").select("fp", "root", "component_id", "n_fingerprints"), "of")
+    return ws.save(joined.join(first, "root").select("fp", "n_rows", "root", "component_id", "n_fingerprints"), "of")
+
+
+def with_classes(fps: DataFrame, of: DataFrame) -> DataFrame:
+    """``fps`` with the class of each row's fingerprint.
+
+    The classes of fingerprints with ``HOT`` rows or more are broadcast, so
+    that the copies of one text do not meet in one task.
+    """
+    hot = of.where(F.col("n_rows") >= HOT)
+    rare = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(of.where(F.col("n_rows") < HOT), "fp")
+    return rare.unionByName(fps.join(F.broadcast(hot), "fp"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,12 +203,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ws = Workspace(docs.sparkSession, "simhash")
     last = F.lit((1 << 63) - 1)
     fps = ws.save(fingerprints(docs, id_col, text_col).select(F.coalesce("doc_id", last).alias("doc_id"), "text_key", "fp"), "fps")
-    roots = fps.join(fingerprint_classes(fps, ws).select("fp", "root"), "fp")
-    kept = roots.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_text"))
-    kept = ws.save(kept, "kept")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), last), "_text": F.xxhash64(utf8(F.col(f"`{text_col}`")))})
-    stay = keyed.join(kept, ["_id", "_text"], "left_semi")
-    copies = fps.groupBy("doc_id", "text_key").count().where("count > 1")
-    if not copies.isEmpty():
-        stay = stay.dropDuplicates(["_id", "_text"])
-    return stay.drop("_id", "_text")
+    roots = ws.save(with_classes(fps, fingerprint_classes(fps, ws)).groupBy("doc_id", "text_key", "root").agg(F.count(F.lit(1)).alias("n")), "roots")
+    key, text = fresh(docs, "id", "text")
+    kept = roots.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
+    gone = roots.join(kept, "root").where((F.col("doc_id") != F.col("k.doc_id")) | (F.col("text_key") != F.col("k.text_key")))
+    gone = ws.save(gone.select(F.col("doc_id").alias(key), F.col("text_key").alias(text)), "gone")
+    keyed = docs.withColumns({key: F.coalesce(F.col(f"`{id_col}`").cast("long"), last), text: F.xxhash64(utf8(F.col(f"`{text_col}`")))})
+    stay = keyed.join(small(gone, 16), [key, text], "left_anti")
+    if not roots.where("n > 1").isEmpty():
+        stay = stay.dropDuplicates([key, text])
+    return stay.drop(key, text)

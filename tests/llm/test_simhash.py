@@ -119,3 +119,17 @@ def test_keep_one(spark):
     kept = got.collect()
     assert sorted((comp[brute_fingerprint(r.text)], r.doc_id if r.doc_id is not None else (1 << 63) - 1) for r in kept) == sorted(classes.items())
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_copies_of_hot_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 3)
+    rows = [(i, "one hot text of several words" if i % 2 else f"text {i} " + "x y z " * i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    comp = brute_components(set(fps.values()), lambda a, b: (a ^ b).bit_count() <= 2)
+    first = {}
+    for i in sorted(fps):
+        first.setdefault(comp[fps[i]], i)
+    assert len(got) == 40 and all(got[i].component_id == first[comp[fps[i]]] for i in fps)
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(first.values())
