@@ -7,8 +7,11 @@ exact Jaccard similarity, with the leader of each of its buckets. Where a bucket
 then still holds several components, every member outside the largest is
 compared with all members of the other components: members of the largest are
 joined already, so no colliding pair is left out and no group is expanded into
-all its pairs. A bit array of the shingles bounds the similarity from above
-inside that join, so that only pairs that may be similar leave it. Components of the verified links are the removal classes.
+all its pairs. Where that would be more than ``PAIRS`` comparisons, the members
+meet by their rarest shingles instead: two sets of similarity 0.8 always share
+one of the rarest fifth of either. A bit array of the shingles bounds the
+similarity from above inside these joins, so that only pairs that may be similar
+leave them. Components of the verified links are the removal classes.
 
 A passage can also sit inside a longer paragraph. Texts are therefore cut, too,
 at points that their words define (a pair of words whose hash is least among its
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import Workspace, claim, map_batches, utf8
+from quillframe.llm.common import Workspace, claim, fresh, map_batches, small, utf8
 from quillframe.llm.components import connected_components
 
 SHINGLE = 5
@@ -38,8 +41,12 @@ BANDS, ROWS = 8, 3
 REACH = 4
 #: Least words of what is removed: of a paragraph that other documents hold, or of a run of at least two pieces.
 RUN = 20
-#: Bits of the filter that tells executors which keys are shared; more keys only let more rows through.
-FILTER_BITS = 1 << 26
+#: Bits for each key of a filter that tells executors which keys are shared, and most bits of a filter; more keys than that only let more rows through.
+FILTER_KEY_BITS, FILTER_BITS = 16, 1 << 27
+#: Comparisons in a bucket from which its members meet by their rarest shingles.
+PAIRS = 1 << 20
+#: Members that meet in one rare shingle and are compared in one piece of work.
+CELL = 512
 #: Word hashes that a Python worker remembers.
 WORDS = 200_000
 
@@ -198,17 +205,18 @@ def _keys_of(batch: pa.RecordBatch):
 
 
 def _filter_of(keys: DataFrame) -> np.ndarray:
-    """A bit array of fixed size with the bit of every ``key`` set."""
-    bits = keys.select(F.pmod(F.col("key"), F.lit(FILTER_BITS)).alias("bit"))
+    """A bit array with the bit of every ``key`` set; its size, a power of two, is that of the keys up to a bound."""
+    size = min(FILTER_BITS, 1 << max(6, (FILTER_KEY_BITS * keys.count()).bit_length()))
+    bits = keys.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("bit"))
     words = bits.select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, int(bit & 63))").alias("b"))
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out = np.zeros(size // 64, np.uint64)
     out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return out
 
 
 def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys % np.uint64(FILTER_BITS)
+    at = keys & np.uint64(64 * len(bits) - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -320,6 +328,10 @@ def paragraph_classes(sets: DataFrame, ws: Workspace) -> DataFrame:
     open_ = sizes.groupBy("band", "bucket").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
     open_ = ws.save(open_.select("band", "bucket", "most"), "open")
     rest = ws.save(named.join(open_, ["band", "bucket"]), "rest")
+    work = rest.groupBy("band", "bucket").agg((F.count_if(F.col("c") != F.col("most")) * F.count(F.lit(1))).alias("n"))
+    crowded = ws.save(work.where(F.col("n") > PAIRS).select("band", "bucket"), "crowded")
+    by_prefix = _rare_meetings(rest.join(crowded, ["band", "bucket"], "left_semi"), sets, ws)
+    rest = rest.join(crowded, ["band", "bucket"], "left_anti")
     out = rest.where("c <> most").select("band", "bucket", "x", F.col("c").alias("cx"))
     others = rest.select("band", "bucket", F.col("x").alias("y"), F.col("c").alias("cy"))
     # a pair that meets in several bands is looked at in the first of them
@@ -327,11 +339,49 @@ def paragraph_classes(sets: DataFrame, ws: Workspace) -> DataFrame:
     for i in range(BANDS - 1):
         new &= (F.col("band") <= i) | (F.col(f"x.k{i}") != F.col(f"y.k{i}"))
     pairs = out.join(others, ["band", "bucket"]).where(new)
-    pairs = pairs.select(F.greatest("x.key", "y.key").alias("u"), F.least("x.key", "y.key").alias("v")).distinct()
-    more = ws.save(_verified(pairs, sets), "more")
+    pairs = pairs.select(F.greatest("x.key", "y.key").alias("u"), F.least("x.key", "y.key").alias("v"))
+    more = ws.save(_verified(pairs.union(by_prefix).distinct(), sets), "more")
     return ws.save(connected_components(links.union(more), ws, "second"), "classes")
 
 
+def _prefixes(members: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
+    """``(key, shingle)``: of each member the rarest shingles, one more than those that a similar set may lack.
+
+    All members rank their shingles alike, by the number of members that have
+    them, so similar sets share one of these.
+    """
+
+    def spread(batch: pa.RecordBatch):
+        claim("passages", _hashes.clear)
+        for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = np.frombuffer(raw, np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], ["key", "shingle"])
+
+    rows = map_batches(sets.join(members.select("key"), "key", "left_semi").select("key", "shingles"), spread, "key long, shingle long")
+    rows = ws.save(rows, "shingles")
+    ranked = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    n = F.size("s")
+    own = F.slice("s", F.lit(1), (n - F.ceil(SIMILAR * n - 1e-6) + 1).cast("int"))
+    # a shingle that no other member has meets none
+    return ranked.select("key", F.explode(F.filter(own, lambda s: s["df"] > 1)).alias("s")).select("key", "s.shingle")
+
+
+def _rare_meetings(crowded: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
+    """``(u, v)`` of members of crowded buckets, in different components, that share a band and may be similar."""
+    members = ws.save(crowded.groupBy(F.col("x.key").alias("key")).agg(F.first("x").alias("x"), F.first("c").alias("c")), "hot-members")
+    met = ws.save(_prefixes(members, sets, ws), "prefixes")
+    cells = met.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
+    met = met.join(cells, "shingle").join(members, "key")
+    # one side of a cell is dealt into parts of about CELL members, the other meets each part
+    left = met.select("shingle", F.pmod(F.hash("key"), F.col("parts")).alias("part"), "x", F.col("c").alias("cx"))
+    right = met.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("x").alias("y"), F.col("c").alias("cy"))
+    collide = F.lit(False)
+    for i in range(BANDS):
+        collide |= F.col(f"x.k{i}") == F.col(f"y.k{i}")
+    pairs = left.join(right, ["shingle", "part"]).where((F.col("x.key") > F.col("y.key")) & (F.col("cx") != F.col("cy")) & collide & _may_be_similar("x", "y"))
+    return pairs.select(F.col("x.key").alias("u"), F.col("y.key").alias("v"))
+
+
 def shared_passages(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, text_key, spans)``: word ranges to remove, by document id and hash of its text; only documents with some."""
     spark = docs.sparkSession
@@ -417,13 +467,14 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     they share among themselves (a null id counts as one document before all
     others). Null texts stay null, texts without a shared passage stay as they
     are, a text that is wholly shared becomes empty. A column already named
-    ``out`` is replaced; all other columns are kept.
+    ``out`` is replaced; all other columns are kept, whatever their names.
     """
     ws = Workspace(docs.sparkSession, "passages")
     spans = shared_passages(docs, ws, id_col, text_col)
     text = utf8(F.col(f"`{text_col}`"))
-    keyed = docs.withColumns({"_doc": _doc(id_col), "_text_key": F.xxhash64(text)})
-    spans = spans.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"), F.col("spans").alias("_spans"))
+    doc, key, list_, cut = fresh(docs, "doc", "text_key", "spans", "cut")
+    keyed = docs.withColumns({doc: _doc(id_col), key: F.xxhash64(text)})
+    spans = small(spans.select(F.col("doc").alias(doc), F.col("text_key").alias(key), F.col("spans").alias(list_)), 16 + 16 * F.size(list_))
 
     @F.arrow_udf("struct<text:string,n_removed:long,n_spans:long>")
     def apply(texts: pa.Array, lists: pa.Array) -> pa.Array:
@@ -437,12 +488,12 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cols = list(zip(*rows)) or [()] * 3
         return pa.StructArray.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["text", "n_removed", "n_spans"])
 
-    rows = keyed.join(spans, ["_doc", "_text_key"], "left")
+    rows = keyed.join(spans, [doc, key], "left")
     # only texts with something to cut go to Python
-    some = F.col("_spans").isNotNull()
-    rows = rows.withColumn("_cut", apply(F.when(some, text), F.col("_spans")))
-    made = F.struct(F.coalesce("_cut.n_removed", F.lit(0)).alias("n_removed"), F.coalesce("_cut.n_spans", F.lit(0)).alias("n_spans"))
-    kept = F.when(some, F.col("_cut.text")).otherwise(F.col(f"`{text_col}`").cast("string"))
+    some = F.col(list_).isNotNull()
+    rows = rows.withColumn(cut, apply(F.when(some, text), F.col(list_)))
+    made = F.struct(F.coalesce(f"{cut}.n_removed", F.lit(0)).alias("n_removed"), F.coalesce(f"{cut}.n_spans", F.lit(0)).alias("n_spans"))
+    kept = F.when(some, F.col(f"{cut}.text")).otherwise(F.col(f"`{text_col}`").cast("string"))
     return rows.withColumn(text_col, kept).withColumn(out, made).select(*[f"`{c}`" for c in docs.columns if c != out], out)
 
 
@@ -453,7 +504,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with shared passages cut out, with their own columns; rows go that had words and have none left."""
-    done = dedup_passages(docs, id_col, text_col, out="_passages")
+    """``docs`` with shared passages cut out, with their own columns and any others; rows go that had words and have none left.
+
+    Null and empty texts, which had none, stay. Of ties and repeated rows, and
+    of clashing names, see ``dedup_passages``; an empty table stays empty.
+    """
+    (out,) = fresh(docs, "passages")
+    done = dedup_passages(docs, id_col, text_col, out=out)
     left = F.length(F.btrim(F.col(f"`{text_col}`"), F.lit(" \t\n\r\x0b\x0c"))) > 0
-    return done.where((F.col("_passages.n_removed") == 0) | left).drop("_passages")
+    return done.where((F.col(f"{out}.n_removed") == 0) | left).drop(out)

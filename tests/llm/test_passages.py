@@ -105,6 +105,16 @@ def test_classes_match_all_colliding_pairs(spark):
     assert len(set(mine)) == len(set(want)) == len(set(zip(mine, want)))
 
 
+def test_crowded_buckets_meet_by_rare_shingles(spark, monkeypatch):
+    monkeypatch.setattr(passages, "PAIRS", 0)
+    monkeypatch.setattr(passages, "CELL", 3)
+    seen = []
+    meetings = passages._rare_meetings
+    monkeypatch.setattr(passages, "_rare_meetings", lambda crowded, *a: seen.append(crowded.count()) or meetings(crowded, *a))
+    test_classes_match_all_colliding_pairs(spark)
+    assert seen[0] > 0
+
+
 def test_bands_reach_similar_paragraphs():
     rng = random.Random(4)
     met = 0
