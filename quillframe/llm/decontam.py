@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import claim, utf8
+from quillframe.llm.common import claim, fresh, utf8
 
 #: Words in a window.
 WINDOW = 10
@@ -162,25 +162,26 @@ def mark_contaminated(
     text = utf8(F.col(f"`{text_col}`"))
     if blocks == 1:
         return docs.withColumn(out, _scanner(spark, [(r.item, bytes(r.text)) for r in items.collect()], window)(text))
-    key = [F.xxhash64(F.struct("*")), F.xxhash64(F.lit(1), F.struct("*"))]
-    keyed = docs.withColumns({"_key_a": key[0], "_key_b": key[1]})
+    # the hits depend on the text alone, so rows meet them by two hashes of it
+    a, b, base, found, ids = fresh(docs, "key_a", "key_b", "base", "found", "ids")
+    keyed = docs.withColumns({a: F.xxhash64(text), b: F.xxhash64(F.lit(1), text)})
     parts = []
     for block in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         hit = _scanner(spark, [(r.item, bytes(r.text)) for r in some], window)(text)
-        parts.append(keyed.select("_key_a", "_key_b", hit.alias("h")).where("h.n_hit > 0").dropDuplicates(["_key_a", "_key_b"]))
+        parts.append(keyed.select(a, b, hit.alias("h")).where("h.n_hit > 0").dropDuplicates([a, b]))
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.union(part)
-    hits = hits.groupBy("_key_a", "_key_b").agg(F.flatten(F.collect_list("h.spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.items")))).alias("items"))
-    hits = hits.withColumn("m", F.arrow_udf(_merged, f"struct<n_hit:long,spans:{SPAN_TYPE}>")("spans")).select("_key_a", "_key_b", "m", "items")
+    hits = hits.groupBy(a, b).agg(F.flatten(F.collect_list("h.spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.items")))).alias(ids))
+    hits = hits.withColumn(found, F.arrow_udf(_merged, f"struct<n_hit:long,spans:{SPAN_TYPE}>")("spans")).select(a, b, found, ids)
     none = _scanner(spark, [], window)(text)
-    joined = keyed.withColumn("_base", none).join(hits, ["_key_a", "_key_b"], "left")
+    joined = keyed.withColumn(base, none).join(hits, [a, b], "left")
     made = F.struct(
-        F.col("_base.n_words").alias("n_words"),
-        F.coalesce("m.n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("m.spans", F.array().cast(SPAN_TYPE)).alias("spans"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.col(f"{base}.n_words").alias("n_words"),
+        F.coalesce(f"{found}.n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce(f"{found}.spans", F.array().cast(SPAN_TYPE)).alias("spans"),
+        F.coalesce(ids, F.array().cast("array<string>")).alias("items"),
     )
     return joined.withColumn(out, made).select(*[f"`{c}`" for c in docs.columns if c != out], out)
 
@@ -199,6 +200,10 @@ def report(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any hit, with their own columns."""
-    marked = mark_contaminated(docs, bench, out="_contamination")
-    return marked.where("_contamination.n_hit = 0").drop("_contamination")
+    """The rows of ``docs`` without any hit, with their own columns and any others, whatever their names.
+
+    Null and empty texts have no hit and stay, equal rows share their fate, an
+    empty benchmark keeps all rows and an empty table stays empty.
+    """
+    (out,) = fresh(docs, "contamination")
+    return mark_contaminated(docs, bench, out=out).where(F.col(f"{out}.n_hit") == 0).drop(out)

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import Workspace, claim, map_batches, utf8
+from quillframe.llm.common import Workspace, claim, fresh, map_batches, utf8
 
 ORDER = 4
 #: Entries (n-grams of the highest order times languages) of a shard; more n-grams make more shards.
@@ -410,6 +410,13 @@ def evaluate(docs: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their own columns; learned and calibrated on those that name a language."""
-    scored = score(docs, train(docs), out="_lid")
-    return mark_rejected(scored, calibrate(docs), "_lid", "_rejected").where("NOT _rejected").drop("_lid", "_rejected")
+    """The rows of ``docs`` that are not rejected, with their own columns and any others; learned and calibrated on those that name a language.
+
+    Null and empty texts and texts without a letter are rejected. Equal rows
+    share their fate; where no row names a language, every text with a letter
+    stays. An empty table stays empty. Column names may be any.
+    """
+    lid, rejected = fresh(docs, "lid", "rejected")
+    scored = score(docs, train(docs), out=lid)
+    marked = mark_rejected(scored, calibrate(docs), lid, rejected)
+    return marked.where(~F.col(rejected)).drop(lid, rejected)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import Workspace
+from quillframe.llm.common import Workspace, fresh
 from quillframe.llm.components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -123,17 +123,18 @@ def judge(pages: DataFrame, rules: Sequence[Rule], links: DataFrame | None = Non
     verdict = match_rule(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"]
     blocking = ends.where(verdict == "block").select("node").distinct()
     blocked = classes.join(blocking, "node").select("component").distinct()
-    aliases = ws.save(classes.join(blocked, "component").select(F.col("node").alias("_alias")), "blocked")
+    host, path, page, rule, alias = fresh(pages, "host", "path", "page", "rule", "alias")
+    aliases = ws.save(classes.join(blocked, "component").select(F.col("node").alias(alias)), "blocked")
     # the rule is found in a projection of its own, as a column that later ones refer to
     url = F.col(f"`{url_col}`")
-    rows = pages.withColumns({"_host": host_of(url), "_path": path_of(url), "_page": page_key(url)})
-    rows = rows.withColumn("_rule", match_rule(F.col("_host"), F.col("_path"), rules))
-    rows = rows.join(aliases, F.col("_page") == F.col("_alias"), "left")
+    rows = pages.withColumns({host: host_of(url), path: path_of(url), page: page_key(url)})
+    rows = rows.withColumn(rule, match_rule(F.col(host), F.col(path), rules))
+    rows = rows.join(aliases, F.col(page) == F.col(alias), "left")
     made = F.struct(
-        F.col("_host").alias("host"),
-        F.col("_path").alias("path"),
-        F.col("_rule.name").alias("rule"),
-        F.coalesce("_rule.verdict", F.when(F.col("_alias").isNotNull(), F.lit("block")), F.lit("allow")).alias("verdict"),
+        F.col(host).alias("host"),
+        F.col(path).alias("path"),
+        F.col(f"{rule}.name").alias("rule"),
+        F.coalesce(f"{rule}.verdict", F.when(F.col(alias).isNotNull(), F.lit("block")), F.lit("allow")).alias("verdict"),
     )
     return rows.withColumn(out, made).select(*[f"`{c}`" for c in pages.columns if c != out], out)
 
