@@ -2,8 +2,10 @@ import html
 import os
 import re
 
+import numpy as np
 import pytest
 
+from quillframe.llm import html as text_of_pages
 from quillframe.llm.common import table
 from quillframe.llm.html import main_text, report
 
@@ -33,6 +35,42 @@ def test_without_article_the_ratios_choose():
     assert main_text(page) == "\n".join(f"Sentence {i}, with some words, and marks; it goes on, and on, until here." for i in range(8))
 
 
+STORY = [f"Sentence {i} of the story, with some words, and marks; it goes on, and on, until here." for i in range(9)]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in STORY)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="content-sidebar-wrap"><article>{PARAGRAPHS}</article></div>',
+        f'<div class="site has-sidebar"><main>{PARAGRAPHS}</main></div>',
+        f'<article><div class="entry no-comments">{PARAGRAPHS}</div></article>',
+        f'<div class="sidebar"><div><article>{PARAGRAPHS}</article></div></div>',
+        f'<div class="two-column sidebar-left">{PARAGRAPHS}</div><div class="sidebar-left"><p>Short, other.</p></div>',
+        f"<form action=x><div>{PARAGRAPHS}</div></form>",
+        f'<div>{PARAGRAPHS}</div><article><a href="/x">Teaser, short.</a></article>',
+        f'<main><article>{PARAGRAPHS}</article><article><p>Another teaser, short.</p></article></main>',
+        f'<article>{PARAGRAPHS}</article><div id="comments">' + "".join(f"<article><p>Reader {i} says, at length, much; and more, and more, to all of it.</p></article>" for i in range(9)) + "</div>",
+        f'<div class="teaser"><p>One card, with words.</p></div><div class="post">{PARAGRAPHS}</div><div class="post-comments"><p>Nice, thanks, really, all of you.</p></div>',
+    ],
+)
+def test_wrappers_and_others(page):
+    assert main_text(f"<html><body>{page}</body></html>") == "\n".join(STORY)
+
+
+def test_links_inside_an_article_stay():
+    page = f'<article><h1>T</h1><p><a name=top>Never closed, here.<p>{STORY[0]}</p><ul><li><a href="/1">Source one</a></li><li><a href="/2">Source two</a></li></ul></article>'
+    assert main_text(page) == f"T\nNever closed, here.\n{STORY[0]}\nSource one\nSource two"
+
+
+def test_the_ratios_decide(monkeypatch):
+    rows = "".join(f"<div><span>Item {i}</span></div>" for i in range(90))
+    page = f"<body><div>{rows}</div><div><h1>Title</h1><div>{PARAGRAPHS}</div></div><article><p>A card.</p></article></body>"
+    assert main_text(page) == "\n".join(["Title", *STORY])
+    monkeypatch.setattr(text_of_pages, "path_scores", lambda leaves: (np.ones(len(leaves)), np.zeros(len(leaves), bool)))
+    assert "Item 5" in main_text(page)
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
