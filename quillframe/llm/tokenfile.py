@@ -1,13 +1,17 @@
 """Token ids in binary shards with keyed access through a minimal perfect hash.
 
-A store is a folder of two Parquet tables, written and read by Spark so that
-any file system works. ``payload``: one row per block of documents, blocks in
-the order of (shard, block), documents in ascending order of their key; ``ids``
-are the raw ids, little-endian, 2 or 4 bytes each by the vocabulary's size.
-``index``: one row per bucket of keys (a bucket is a hash of the key) with the
-bytes of a minimal perfect hash over the bucket's keys and, in slot order, a
-32-bit fingerprint, the place (shard, block, first id) and the copies of each
-key. A lookup reads one index row, one slot and one block.
+A store is a folder of Parquet tables, written and read by Spark so that any
+file system works. ``payload``: a folder for each shard, in it one row per block
+of documents, documents in ascending order of their key over (shard, block);
+``ids`` are the raw ids, little-endian, 2 or 4 bytes each by the vocabulary's
+size. ``index``: one row per bucket of keys (a bucket is a hash of the key), in
+folders of some buckets each, with the bytes of a minimal perfect hash over the
+bucket's keys and, in slot order, a 32-bit fingerprint, the place (shard, block,
+first id), the number of ids and the copies of each key. ``meta`` holds the
+numbers of buckets and folders. Every block and every bucket is a page of its
+own, so the lookup of a key opens the index file of its folder and the payload
+file of its shard, and reads one bucket and one block of them, however many keys
+there are.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import map_batches, utf8
+from quillframe.llm.common import map_batches, some, utf8
 from quillframe.llm.encode import encoder, texts_of
 from quillframe.llm.mph import MinimalPerfectHash, key_hashes
 
@@ -29,10 +33,18 @@ from quillframe.llm.mph import MinimalPerfectHash, key_hashes
 BLOCK_IDS = 1 << 19
 #: Keys in a bucket of the index, about.
 BUCKET_KEYS = 20_000
+#: Folders of the index, at most; more buckets share them.
+FOLDERS = 4096
+#: Keys asked for that are looked up by reading only their buckets and blocks; more of them are joined with the whole tables.
+FEW = 1000
 
 PAYLOAD = "shard int, block int, n_ids long, width int, keys array<string>, ats array<long>, counts array<long>, ids binary"
 PLACES = "key string, shard int, block int, at long, n_tokens long, ids_crc32 long"
-INDEX = "bucket long, n_keys long, hash binary, prints binary, shards binary, blocks binary, ats binary, copies binary"
+INDEX = "folder int, bucket long, n_keys long, hash binary, prints binary, shards binary, blocks binary, ats binary, sizes binary, copies binary"
+META = "buckets long, folders int"
+FOUND = "key string, shard int, block int, at long, n_tokens long, copies long"
+#: Every row is a page, so that one of them can be read by itself.
+PAGES = {"compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "4", "parquet.page.row.count.limit": "1"}
 
 
 def _block(shard: int, block: int, width: int, keys: list, ids: list[bytes]) -> pa.RecordBatch:
@@ -54,14 +66,15 @@ def write_payload(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         shard, block, keys, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for key, raw in zip(names, enc.encode(texts_of(batch.column(1)))):
-                raw += end
-                if keys and size + len(raw) > BLOCK_IDS * enc.width:
-                    yield _block(shard, block, enc.width, keys, ids)
-                    block, keys, ids, size = block + 1, [], [], 0
-                keys.append(key)
-                ids.append(raw)
-                size += len(raw)
+            for at, texts in some(batch.column(1)):
+                for key, raw in zip(names[at:], enc.encode(texts_of(texts))):
+                    raw += end
+                    if keys and size + len(raw) > BLOCK_IDS * enc.width:
+                        yield _block(shard, block, enc.width, keys, ids)
+                        block, keys, ids, size = block + 1, [], [], 0
+                    keys.append(key)
+                    ids.append(raw)
+                    size += len(raw)
         if keys:
             yield _block(shard, block, enc.width, keys, ids)
 
@@ -70,8 +83,7 @@ def write_payload(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
     rows = rows.select(F.col("id").cast("string").alias("key"), "text")
-    out = rows.mapInArrow(run, PAYLOAD)
-    out.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).option("parquet.block.size.row.check.min", "4").parquet(f"{path}/payload")
+    rows.mapInArrow(run, PAYLOAD).write.options(**PAGES).partitionBy("shard").parquet(f"{path}/payload")
 
 
 def payload(spark: SparkSession, path: str) -> DataFrame:
@@ -100,31 +112,35 @@ def checked_places(spark: SparkSession, path: str) -> DataFrame:
 
 def write_index(spark: SparkSession, path: str) -> None:
     """The index over all non-null keys; a key's entry is its first copy, the copies follow one another."""
-    first = places(spark, path).where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("shard", "block", "at")).alias("p"), F.count(F.lit(1)).alias("copies"))
-    buckets = _buckets(spark, path)
-    keyed = first.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), F.struct("key", "p.shard", "p.block", "p.at", "copies").alias("e"))
-    grouped = keyed.groupBy("bucket").agg(F.collect_list("e").alias("e"))
+    first = places(spark, path).where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("shard", "block", "at", "n_tokens")).alias("p"), F.count(F.lit(1)).alias("copies"))
+    n = payload(spark, path).agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first().n
+    buckets = max(1, -(-n // BUCKET_KEYS))
+    folders = min(buckets, FOLDERS)
+    spark.createDataFrame([(buckets, folders)], META).coalesce(1).write.parquet(f"{path}/meta")
+    keyed = first.select(*_bucket(F.col("key"), buckets, folders), F.struct("key", "p.*", "copies").alias("e"))
+    grouped = keyed.repartition(folders, "folder").groupBy("folder", "bucket").agg(F.collect_list("e").alias("e"))
 
     def run(batch: pa.RecordBatch):
         names = INDEX.replace(",", "").split()[::2]
         out = {name: [] for name in names}
-        for bucket, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for folder, bucket, entries in zip(*[c.to_pylist() for c in batch.columns]):
             a, b = key_hashes([e["key"].encode() for e in entries])
             table = MinimalPerfectHash.build(a, b)
             order = np.argsort(table.slots(a, b))
-            cols = {c: np.array([e[c] for e in entries], "<i8")[order].tobytes() for c in ("shard", "block", "at", "copies")}
-            values = [bucket, len(entries), table.to_bytes(), (b[order] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), *cols.values()]
+            cols = {c: np.array([e[c] for e in entries], "<i8")[order].tobytes() for c in ("shard", "block", "at", "n_tokens", "copies")}
+            values = [folder, bucket, len(entries), table.to_bytes(), (b[order] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), *cols.values()]
             for name, value in zip(names, values):
                 out[name].append(value)
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 7]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names)
 
-    map_batches(grouped, run, INDEX).write.parquet(f"{path}/index")
+    map_batches(grouped, run, INDEX).write.options(**PAGES).partitionBy("folder").parquet(f"{path}/index")
 
 
-def _buckets(spark: SparkSession, path: str) -> int:
-    n = payload(spark, path).agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first().n
-    return max(1, -(-n // BUCKET_KEYS))
+def _bucket(key, buckets: int, folders: int) -> list:
+    """A key's folder and bucket."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
+    return [F.pmod(bucket, F.lit(folders)).cast("int").alias("folder"), bucket.cast("long").alias("bucket")]
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
@@ -132,48 +148,59 @@ def index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """``(key, shard, block, at, copies)`` of the keys (column ``key``, text) that the index holds.
+    """``(key, shard, block, at, n_tokens, copies)`` of the keys (column ``key``, text) that the index holds.
 
     A key that is not stored is told from a stored one by its fingerprint, with
     an error of 2**-32. Null keys are never found; keys asked twice answer once.
+    For up to ``FEW`` keys only their buckets are read.
     """
-    buckets = _buckets(spark, path)
+    meta = spark.read.schema(META).parquet(f"{path}/meta").first()
     asked = keys.select(F.col("key").cast("string").alias("key")).where("key IS NOT NULL").distinct()
-    asked = asked.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(16)).alias("part")).agg(F.collect_list("key").alias("asked"))
+    asked = asked.select("key", *_bucket(F.col("key"), meta.buckets, meta.folders))
+    entries = index(spark, path)
+    few = asked.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        asked = F.broadcast(spark.createDataFrame(few, "key string, folder int, bucket long"))
+        entries = entries.where(F.col("folder").isin(sorted({r.folder for r in few})) & F.col("bucket").isin(sorted({r.bucket for r in few})))
+    # a bucket's keys are dealt into parts, so that no task answers all of them
+    asked = asked.groupBy("folder", "bucket", F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(16)).alias("part")).agg(F.collect_list("key").alias("asked"))
 
     def run(batch: pa.RecordBatch):
-        out = {k: [] for k in ("key", "shard", "block", "at", "copies")}
+        out = {k: [] for k in FOUND.replace(",", "").split()[::2]}
         for row in batch.to_pylist():
             a, b = key_hashes([k.encode() for k in row["asked"]])
             slots = MinimalPerfectHash.from_bytes(row["hash"]).slots(a, b)
             prints = np.frombuffer(row["prints"], "<u4")
-            cols = {c: np.frombuffer(row[f"{c}s" if c != "copies" else c], "<i8") for c in ("shard", "block", "at", "copies")}
+            names = {"shard": "shards", "block": "blocks", "at": "ats", "n_tokens": "sizes", "copies": "copies"}
+            cols = {c: np.frombuffer(row[name], "<i8") for c, name in names.items()}
             there = (slots >= 0) & (prints[np.maximum(slots, 0)] == (b & np.uint64(0xFFFFFFFF)).astype(np.uint32))
             out["key"] += [k for k, ok in zip(row["asked"], there) if ok]
             for c, values in cols.items():
                 out[c] += values[slots[there]].tolist()
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 3]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
-    joined = asked.join(index(spark, path), "bucket")
-    return map_batches(joined.select("asked", "hash", "prints", "shards", "blocks", "ats", "copies"), run, "key string, shard int, block int, at long, copies long")
+    joined = asked.join(entries, ["folder", "bucket"])
+    return map_batches(joined.select("asked", "hash", "prints", "shards", "blocks", "ats", "sizes", "copies"), run, FOUND)
 
 
 def read_ids(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """``(key, ids)`` of the first copy of each stored key asked for, through the index."""
-    found = lookup(spark, path, keys).join(payload(spark, path).select("shard", "block", "width", "keys", "counts", "ids"), ["shard", "block"])
+    """``(key, ids)`` of the first copy of each stored key asked for, through the index; for up to ``FEW`` keys only their blocks are read."""
+    found, blocks = lookup(spark, path, keys), payload(spark, path).select("shard", "block", "width", "ids")
+    few = found.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        found = F.broadcast(spark.createDataFrame(few, FOUND))
+        blocks = blocks.where(F.col("shard").isin(sorted({r.shard for r in few})) & F.col("block").isin(sorted({r.block for r in few})))
+    found = found.join(blocks, ["shard", "block"])
 
     def run(batch: pa.RecordBatch):
         keys, ids = [], []
-        for row in batch.to_pylist():
-            starts = np.cumsum([0, *row["counts"]])
-            n = row["counts"][int(np.searchsorted(starts[:-1], row["at"], "right")) - 1]
-            width = row["width"]
-            keys.append(row["key"])
-            ids.append(np.frombuffer(row["ids"], f"<u{width}", n, row["at"] * width).astype(np.int64))
+        for key, at, n, width, raw in zip(*[c.to_pylist() for c in batch.columns]):
+            keys.append(key)
+            ids.append(np.frombuffer(raw, f"<u{width}", n, at * width).astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.list_(pa.int64()))], ["key", "ids"])
 
-    return map_batches(found, run, "key string, ids array<long>")
+    return map_batches(found.select("key", "at", "n_tokens", "width", "ids"), run, "key string, ids array<long>")
 
 
 def block_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -203,11 +230,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
 def stored_documents(spark: SparkSession, path: str) -> DataFrame:
     """From the files: ``(key, start, n_tokens, ids_crc32, indexed)`` of every stored document.
 
-    ``start`` counts the ids of all documents before it. ``indexed`` tells that
-    the lookup of the key leads to this very document: true for the first copy
-    of every non-null key.
+    Every key is looked up; the row of a key is that of the ids at the place
+    and of the number that the index gives for it. ``indexed`` tells that a row
+    was found so: the first copy of every non-null key. Further copies, and
+    documents without a key, follow from the directories of the blocks.
+    ``start`` counts the ids of all documents before it.
     """
-    found = lookup(spark, path, places(spark, path).select("key")).select("key", "shard", "block", "at", F.lit(True).alias("indexed"))
-    starts = block_starts(spark, path)
-    rows = checked_places(spark, path).join(starts, ["shard", "block"]).join(found, ["key", "shard", "block", "at"], "left")
-    return rows.select("key", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", F.coalesce("indexed", F.lit(False)).alias("indexed"))
+    asked = lookup(spark, path, places(spark, path).select("key"))
+    found = asked.select(F.col("key").alias("found"), "shard", "block", "at", F.col("n_tokens").alias("n_found"))
+    rows = checked_places(spark, path).join(block_starts(spark, path), ["shard", "block"]).join(found, ["shard", "block", "at"], "left")
+    key, n = F.coalesce("found", "key"), F.coalesce("n_found", "n_tokens")
+    return rows.select(key.alias("key"), (F.col("start") + F.col("at")).alias("start"), n.alias("n_tokens"), "ids_crc32", F.col("found").isNotNull().alias("indexed"))

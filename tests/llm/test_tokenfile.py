@@ -14,7 +14,7 @@ from quillframe.llm.mph import MinimalPerfectHash, key_hashes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
-CACHED = Encoder(PATH, cache_pieces=50)
+CACHED = Encoder(PATH, cache_bytes=10_000)
 TEXTS = [
     "", " ", "  a  b ", "the cat's mat. It's\n\nover ,there...\t x", "\n a\nb \n", "Ärger über çà, ñ! déjà-vu", "a.\nB,\nc!! d### $$$x 12 3a4 x's 's", "<|endoftext|> a<|endoftext|>b <|endoftext|>",
     "日本語 テキスト です　x y", "x\x1cy \x1c z\x85 w", "word," * 30, "naïvé é́ ʼs ’s", "a\r\nb \r c", "it'll we've I'd 'tis\n'twas",
@@ -94,3 +94,40 @@ def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     tokenfile.write_store(df, path, PATH, end_id=2)
     assert tokenfile.stored_documents(spark, path).count() == 0
+
+
+def bytes_read(spark, action):
+    """The rows of a DataFrame, and the bytes of files that its jobs read."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).inputBytes() for i in range(stages.size()))
+
+    before = total()
+    rows = action()
+    return rows, total() - before
+
+
+def test_a_key_is_found_without_reading_the_rest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "BUCKET_KEYS", 25)
+    monkeypatch.setattr(tokenfile, "BLOCK_IDS", 20_000)
+    monkeypatch.setattr(tokenfile, "FOLDERS", 20)
+    rng = random.Random(3)
+    texts = {i: " ".join(f"{rng.randrange(10**9)}" for _ in range(700)) for i in range(1000)}
+    path = f"file://{tmp_path}/store"
+    tokenfile.write_store(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path, PATH, end_id=2)
+    size = {name: sum(f.stat().st_size for f in (tmp_path / "store" / name).rglob("*.parquet")) for name in ("payload", "index")}
+    files = {name: len(list((tmp_path / "store" / name).rglob("*.parquet"))) for name in ("payload", "index")}
+    assert files["index"] == 20 and files["payload"] >= 4 and size["payload"] > 4_000_000
+    meta = spark.read.parquet(f"{path}/meta").first()
+    assert (meta.buckets, meta.folders) == (40, 20)
+    one = spark.createDataFrame([("517",)], "key string")
+    rows, n = bytes_read(spark, lambda: tokenfile.read_ids(spark, path, one).collect())
+    assert rows[0].ids == [*PLAIN.encode(texts[517], add_special_tokens=False).ids, 2]
+    # a hundred blocks or so: one of them, one bucket, and footers are a small part of the whole
+    assert 0 < n < (size["payload"] + size["index"]) / 10, (n, size)
+    monkeypatch.setattr(tokenfile, "FEW", 0)
+    again, m = bytes_read(spark, lambda: tokenfile.read_ids(spark, path, one).collect())
+    assert again == rows and m > n
