@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import utf8
+from quillframe.llm.common import some, utf8
 
 #: Documents, about, that the scorer is fitted on; chosen by a hash of the text.
 SAMPLE_ROWS = 10_000
@@ -197,24 +197,30 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str
     """``docs`` with a struct column ``out`` of (score, label_posterior, kept).
 
     ``score`` is the scorer's probability that the document is good,
-    ``label_posterior`` the label model's. Null and empty texts are judged as
-    texts without words, which no labeller votes bad. A column already named
-    ``out`` is replaced.
+    ``label_posterior`` the label model's. Null and empty texts, and others
+    without a word, have both 0 and are not kept. Rows are scored one by one,
+    repeated ones alike. A column already named ``out`` is replaced; all others
+    are kept, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<score:double,label_posterior:double,kept:boolean>")
     def run(texts: pa.Array) -> pa.Array:
         model, z, patterns = sent.value, [], []
-        for t in texts.to_pylist():
+        words = []
+        for t in (t for _, part in some(texts) for t in part.to_pylist()):
             bins, values = features(t)
             z.append(float(model.weights[bins] @ values) + model.weights[-1])
-            patterns.append(votes(*measures(t)))
+            n, found = measures(t)
+            words.append(n > 0)
+            patterns.append(votes(n, found))
+        there = np.array(words, bool)
         p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -50, 50)))
         good = 1 - model.labels.posterior(np.array(patterns, np.int64)) if patterns else p
+        p, good = np.where(there, p, 0.0), np.where(there, good, 0.0)
         return pa.StructArray.from_arrays([pa.array(p), pa.array(good), pa.array(p >= KEEP)], ["score", "label_posterior", "kept"])
 
-    return docs.withColumn(out, run(utf8(F.col(f"`{text_col}`"))))
+    return docs.withColumn(out, run.asNondeterministic()(utf8(F.col(f"`{text_col}`"))))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -56,6 +56,7 @@ def test_edges(spark):
     assert len(got) == len(rows)
     assert {r.kept for r in got if r.doc_id is not None and 100 <= r.doc_id < 115} == {False}
     assert {r.kept for r in got if r.doc_id is None or r.doc_id < 80} == {True}
+    assert [(r.score, r.kept) for r in got if r.doc_id in (200, 201)] == [(0.0, False)] * 2
     assert all(0 <= r.score <= 1 for r in got)
     assert quality.report(df.limit(0)).collect() == []
     marked = quality.score(df, quality.train(df))
