@@ -40,7 +40,9 @@ def _round(x: Value, digits: Value | None = None) -> Value:
         scale = F.lit(float(10.0 ** int(digits.constant)))
     else:
         scale = F.pow(F.lit(10.0), F.coalesce(as_number(digits).col.cast("double"), F.lit(0.0)))
-    return Value(F.signum(n) * F.floor(F.abs(n) * scale + 0.5) / scale, DOUBLE)
+    scaled = F.abs(n) * scale
+    # from 2^52 on a double has no digits after the point
+    return Value(F.when(scaled >= float(1 << 52), n).otherwise(F.signum(n) * F.floor(scaled + 0.5) / scale), DOUBLE)
 
 
 def _coalesce(*values: Value) -> Value:

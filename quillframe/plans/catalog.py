@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillframe.plans.lexer import SqlError
+from quillframe.sources.shared import shared_folder
 
 #: Versions after which a table is written out, so that its plan does not grow without end.
 VERSIONS = 16
@@ -43,7 +41,6 @@ class Catalog:
     spark: SparkSession
     tables: dict[str, Table] = field(default_factory=dict)
     indexes: dict[str, Index] = field(default_factory=dict)
-    _own: str | None = None
 
     def get(self, name: str) -> Table:
         try:
@@ -95,13 +92,7 @@ class Catalog:
         self.indexes.clear()
 
     def _written(self, df: DataFrame) -> DataFrame:
-        """Cuts the lineage with a table in the folder that the cluster shares; locally in one of our own."""
-        root = self.spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if self._own is None:
-                self._own = tempfile.mkdtemp(prefix="quillframe-tables-")
-                atexit.register(shutil.rmtree, self._own, True)
-            root = f"file://{self._own}"
-        path = f"{root}/table-{uuid.uuid4().hex}"
+        """Cuts the lineage with a table in the folder that the cluster shares."""
+        path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

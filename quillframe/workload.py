@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from quillframe.engine import Engine
-from quillframe.sources import exports
+from quillframe.sources.shared import shared_folder
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,6 +139,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "fn_length": ("SELECT doc_id, LENGTH(lang) AS n, LENGTH(text) AS m FROM documents", None),
     "fn_trim": ("SELECT p_partkey, TRIM(CONCAT('  ', p_name, ' ')) AS t FROM part", "SELECT p_partkey, trim('  ' || p_name || ' ') AS t FROM part"),
     "fn_abs": ("SELECT s_suppkey, ABS(s_acctbal) AS a, ABS(0 - s_suppkey) AS b FROM supplier", "SELECT s_suppkey, abs(s_acctbal) AS a, CAST(s_suppkey AS DOUBLE) AS b FROM supplier"),
+    "fn_round_large": ("SELECT o_orderkey, ROUND(o_totalprice * 100000000000000000, 2) AS r FROM orders WHERE o_totalprice > 100000", "SELECT o_orderkey, o_totalprice * CAST(100000000000000000 AS DOUBLE) AS r FROM orders WHERE o_totalprice > 100000"),
     "fn_round": (
         "SELECT o_orderkey, ROUND(o_totalprice) AS a, ROUND(o_totalprice / 7, 2) AS b, ROUND(0 - o_totalprice, 1) AS c FROM orders",
         "SELECT o_orderkey, floor(o_totalprice + 0.5) AS a, floor(o_totalprice / 7 * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS b, -floor(o_totalprice * 10.0::DOUBLE + 0.5) / 10.0::DOUBLE AS c FROM orders",
@@ -200,11 +201,10 @@ def _script(statements: tuple[str, ...]) -> Query:
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers to CSV files in a folder that the cluster shares, and back with inferred types."""
+    """Customers exported to CSV files in a folder that the cluster shares, and back with inferred types."""
     e = engine(spark, sf_dir, ("customer",))
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillframe-csv-')}"
-    path = f"{root}/csv-{uuid.uuid4().hex}"
-    exports.write_folder(e.sql("SELECT * FROM customer"), path, "csv")
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    e.query(f"EXPORT (SELECT * FROM customer) TO '{path}/' FORMAT CSV")
     e.query(f"LOAD '{path}' AS back")
     return e.sql("SELECT * FROM back")
 

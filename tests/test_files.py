@@ -91,3 +91,33 @@ def test_shell(db):
     assert not shell.line(".quit") and not shell.line(".exit")
     text = out.getvalue()
     assert "|  1 |" in text and "1 row (" in text and "Error: no column nope" in text and "1 row(s) deleted from 't'." in text and "Error: unknown command .nope" in text
+
+
+def test_export_leaves_the_target_until_it_is_done(db, tmp_path):
+    path = tmp_path / "o.csv"
+    path.write_text("before")
+    with pytest.raises(Exception, match="Division by zero"):
+        db.query(f"EXPORT (SELECT 1 / (id - id) AS x FROM t) TO '{path}'")
+    assert path.read_text() == "before" and list(tmp_path.iterdir()) == [path]
+
+
+def test_json_has_no_nan(spark, tmp_path):
+    engine = Engine(spark)
+    engine.register("f", spark.createDataFrame([(float("nan"), 1.5), (float("-inf"), 2.0)], "a double, b double"))
+    engine.query(f"EXPORT (SELECT a, b FROM f ORDER BY b) TO '{tmp_path}/f.json'")
+    read = json.loads((tmp_path / "f.json").read_text(), parse_constant=lambda x: pytest.fail(x))
+    assert read == [{"a": None, "b": 1.5}, {"a": None, "b": 2.0}]
+
+
+def test_export_folder(db, tmp_path):
+    done = db.query(f"EXPORT (SELECT id, x FROM t) TO '{tmp_path}/out/' FORMAT CSV")
+    assert done.message == f"Exported 3 row(s) to '{tmp_path}/out/' (CSV)."
+    db.query(f"LOAD '{tmp_path}/out' AS back")
+    assert sorted(db.query("SELECT id FROM back").rows()) == [(1,), (2,), (3,)]
+
+
+@pytest.mark.parametrize("x, digits, want", [(1e20, None, 1e20), (3e16, 4, 3e16), (-1e300, 2, -1e300), (2.5, None, 3.0), (-2.5, None, -3.0), (1.005e3, 1, 1005.0), (9007199254740991.0, None, 9007199254740991.0)])
+def test_round_of_large_numbers(spark, x, digits, want):
+    engine = Engine(spark)
+    engine.register("r", spark.createDataFrame([(x,)], "x double"))
+    assert engine.query(f"SELECT ROUND(x{'' if digits is None else f', {digits}'}) AS r FROM r").rows() == [(want,)]
