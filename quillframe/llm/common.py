@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +126,16 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def some(texts: pa.Array, step: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """A batch's texts in runs of about ``step`` bytes, with the place of the first of each, so that no more of them become Python objects at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        after = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, "right")))
+        yield at, texts.slice(at, after - at)
+        at = after
+
+
 def utf8(col: Column) -> Column:
     """A text column as its UTF-8 bytes; null counts as empty."""
     return F.coalesce(col.cast("binary"), F.lit(b""))

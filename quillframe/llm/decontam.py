@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import claim, fresh, utf8
+from quillframe.llm.common import claim, fresh, some, utf8
 
 #: Words in a window.
 WINDOW = 10
@@ -114,14 +114,15 @@ def _scanner(spark, items: list[tuple[str, bytes]], window: int):
             _built.clear()
             _built[name] = build_tables(sent.value, window)
         rows = []
-        for text in texts.to_pylist():
+        for text in (t for _, run in some(texts) for t in run.to_pylist()):
             words = words_of(text)
             spans, ids = find(words, _built[name])
             rows.append({"n_words": len(words), "n_hit": sum(b - a for a, b in spans), "spans": [{"start": a, "stop": b} for a, b in spans], "items": sorted(ids)})
         span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", span), ("items", pa.list_(pa.string()))]))
 
-    return scan
+    # a filter on the result must not search a text once more
+    return scan.asNondeterministic()
 
 
 def _merged(lists: pa.Array) -> pa.Array:
@@ -167,8 +168,8 @@ def mark_contaminated(
     keyed = docs.withColumns({a: F.xxhash64(text), b: F.xxhash64(F.lit(1), text)})
     parts = []
     for block in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        hit = _scanner(spark, [(r.item, bytes(r.text)) for r in some], window)(text)
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+        hit = _scanner(spark, [(r.item, bytes(r.text)) for r in own], window)(text)
         parts.append(keyed.select(a, b, hit.alias("h")).where("h.n_hit > 0").dropDuplicates([a, b]))
     hits = parts[0]
     for part in parts[1:]:

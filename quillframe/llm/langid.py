@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import Workspace, claim, fresh, map_batches, utf8
+from quillframe.llm.common import Workspace, claim, fresh, map_batches, some, utf8
 
 ORDER = 4
 #: Entries (n-grams of the highest order times languages) of a shard; more n-grams make more shards.
@@ -99,13 +99,15 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             sums[lang] = found, n
 
         size: dict[str, int] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            g = grams(text)
-            waiting.setdefault(lang, []).append(g)
-            size[lang] = size.get(lang, 0) + len(g)
-            if size[lang] > STEP:
-                settle(lang)
-                size[lang] = 0
+        langs = batch.column(0).to_pylist()
+        for at, texts in some(batch.column(1)):
+            for lang, text in zip(langs[at:], texts.to_pylist()):
+                g = grams(text)
+                waiting.setdefault(lang, []).append(g)
+                size[lang] = size.get(lang, 0) + len(g)
+                if size[lang] > STEP:
+                    settle(lang)
+                    size[lang] = 0
         for lang in list(waiting):
             settle(lang)
         for lang, (found, n) in sums.items():
@@ -203,7 +205,7 @@ class LanguageModel:
             code = code & np.uint32((1 << 8 * (order - 1)) - 1)
         return out
 
-    def bits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def bits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits of the n-grams in this shard's cells by text and language, and all symbols of each text."""
         bits = np.zeros((len(texts), len(self.langs)))
         sizes = np.zeros(len(texts), np.int64)
@@ -218,7 +220,7 @@ class LanguageModel:
             np.add.at(bits, [i for i, _ in waiting], -sums)
             waiting.clear()
 
-        for i, text in enumerate(texts):
+        for i, text in enumerate(text for _, run in some(texts) for text in run.to_pylist()):
             g = grams(text)
             sizes[i] = len(g)
             if self.cells != (0, CELLS):
@@ -242,12 +244,12 @@ class Shards:
     langs: list[str]
     sent: list[Broadcast]
 
-    def cross_entropies(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def cross_entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits per symbol by text and language, and the symbols of each text."""
         bits = 0.0
         for shard in self.sent:
-            some, sizes = shard.value.bits(texts)
-            bits = bits + some
+            own, sizes = shard.value.bits(texts)
+            bits = bits + own
             if len(self.sent) > 1:
                 # the next one takes its place; it is read again from the worker's disk
                 del shard._value
@@ -325,9 +327,8 @@ def score(docs: DataFrame, model: Shards | None, text_col: str = "text", out: st
     @F.arrow_udf("struct<lang_pred:string,score:double,xent:double,n_symbols:long>")
     def run(texts: pa.Array) -> pa.Array:
         claim("langid")
-        texts = texts.to_pylist()
         if model is None:
-            sizes = np.array([len(grams(t)) for t in texts], np.int64)
+            sizes = np.array([len(grams(t)) for _, run in some(texts) for t in run.to_pylist()], np.int64)
             langs, best, posterior, there = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)
         else:
             bits, sizes = model.cross_entropies(texts)
@@ -340,7 +341,8 @@ def score(docs: DataFrame, model: Shards | None, text_col: str = "text", out: st
         cols = [pa.array(langs, pa.string()), pa.array(posterior, pa.float64()), pa.array(best, pa.float64(), mask=~there), pa.array(sizes)]
         return pa.StructArray.from_arrays(cols, ["lang_pred", "score", "xent", "n_symbols"])
 
-    return docs.withColumn(out, run(utf8(F.col(f"`{text_col}`"))))
+    # a filter on the result must not score a text once more
+    return docs.withColumn(out, run.asNondeterministic()(utf8(F.col(f"`{text_col}`"))))
 
 
 def _length_class(n):

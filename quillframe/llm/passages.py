@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import Workspace, claim, fresh, map_batches, small, utf8
+from quillframe.llm.common import Workspace, claim, fresh, map_batches, small, some, utf8
 from quillframe.llm.components import connected_components
 
 SHINGLE = 5
@@ -174,18 +174,6 @@ class Texts:
         return band_keys(self.sets) if self.sets else np.zeros((0, BANDS), np.uint64)
 
 
-def _some(texts: list[bytes]):
-    """Ranges of texts of about ``STEP`` bytes."""
-    first = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= STEP:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
 
@@ -193,10 +181,10 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _keys_of(batch: pa.RecordBatch):
     """Rows (band, key, value): pieces and whole paragraphs with their document, bands with their paragraph."""
     claim("passages", _hashes.clear)
-    docs, texts = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist()
-    for a, b in _some(texts):
-        t = Texts(texts[a:b])
-        own = docs[a:b]
+    docs = batch.column(0).to_numpy().view(np.uint64)
+    for a, texts in some(batch.column(1), STEP):
+        t = Texts(texts.to_pylist())
+        own = docs[a : a + len(texts)]
         found = t.bands()
         bands = [np.full(len(t.pieces), _PIECE), np.full(len(t.ids), _WHOLE), *[np.full(len(found), i, np.int8) for i in range(BANDS)]]
         keys = [t.pieces, t.ids, *found.T]
@@ -241,9 +229,10 @@ def _occurrences(sent):
     def run(batch: pa.RecordBatch):
         claim("passages", _hashes.clear)
         pieces, wholes, buckets = sent.value
-        docs, keys, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-        for a, b in _some(texts):
-            t = Texts(texts[a:b])
+        docs, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for a, texts in some(batch.column(2), STEP):
+            t = Texts(texts.to_pylist())
+            b = a + len(texts)
             i = np.flatnonzero(_in_runs(_passes(pieces, t.pieces), t.piece_text, t.stops - t.firsts))
             at = t.piece_text[i]
             part = i - np.searchsorted(t.piece_text, at)
@@ -489,11 +478,11 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.StructArray.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["text", "n_removed", "n_spans"])
 
     rows = keyed.join(spans, [doc, key], "left")
-    # only texts with something to cut go to Python
-    some = F.col(list_).isNotNull()
-    rows = rows.withColumn(cut, apply(F.when(some, text), F.col(list_)))
+    # only texts with something to cut go to Python; a filter on the result must not cut them once more
+    shared = F.col(list_).isNotNull()
+    rows = rows.withColumn(cut, apply.asNondeterministic()(F.when(shared, text), F.col(list_)))
     made = F.struct(F.coalesce(f"{cut}.n_removed", F.lit(0)).alias("n_removed"), F.coalesce(f"{cut}.n_spans", F.lit(0)).alias("n_spans"))
-    kept = F.when(some, F.col(f"{cut}.text")).otherwise(F.col(f"`{text_col}`").cast("string"))
+    kept = F.when(shared, F.col(f"{cut}.text")).otherwise(F.col(f"`{text_col}`").cast("string"))
     return rows.withColumn(text_col, kept).withColumn(out, made).select(*[f"`{c}`" for c in docs.columns if c != out], out)
 
 

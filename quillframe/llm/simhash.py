@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import Workspace, claim, fresh, map_batches, small, utf8
+from quillframe.llm.common import Workspace, claim, fresh, map_batches, small, some, utf8
 from quillframe.llm.components import connected_components
 
 #: Fingerprints link at so many differing bits or fewer; grid and midpoints rest on this number.
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batch: pa.RecordBatch):
         claim("simhash")
-        fps = np.array([simhash(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+        fps = np.array([simhash(t) for _, run in some(batch.column(2)) for t in run.to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "text_key", "fp"])
 
     text = utf8(F.col(f"`{text_col}`"))

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillframe.llm import langid
@@ -106,9 +107,9 @@ def test_step_sizes_agree(spark, monkeypatch):
     df, _ = frame(spark)
     whole = {(r.lang, r.gram): r.n for r in langid.count_grams(df, "lang", "text").collect()}
     model = langid.train(df)
-    bits, sizes = model.cross_entropies([b"the thing " * 50, b"", b"und"])
+    bits, sizes = model.cross_entropies(pa.array([b"the thing " * 50, b"", b"und"]))
     monkeypatch.setattr(langid, "STEP", 37)
-    run = model.cross_entropies([b"the thing " * 50, b"", b"und"])
+    run = model.cross_entropies(pa.array([b"the thing " * 50, b"", b"und"]))
     assert np.allclose(bits, run[0]) and (sizes == run[1]).all()
     assert sum(whole.values()) == sum(len(langid.grams((r.text or "").encode())) for r in df.where("lang IS NOT NULL").collect())
 
@@ -136,7 +137,7 @@ def test_shards_hold_every_count(spark):
     for size in (None, 60, 3):
         model = langid.train(df, shard_size=size)
         assert model.langs == sorted(brute) and (len(model.sent) > 1) == (size is not None)
-        bits, sizes = model.cross_entropies([t.encode() for t in texts])
+        bits, sizes = model.cross_entropies(pa.array([t.encode() for t in texts]))
         scored = langid.score(spark.createDataFrame([(t,) for t in texts], "text string"), model)
         least = {r.text: r.lid.xent for r in scored.collect()}
         for t, got, n in zip(texts, bits, sizes):
