@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that go to Python at once, unless the session says otherwise; long texts would make larger batches than workers have room for.
+BATCH_BYTES = 4 << 20
 #: Bytes of a side that is broadcast, at most; beyond it the join is a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -53,6 +55,9 @@ class Workspace:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+        limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if not spark._jsparkSession.sessionState().conf().contains(limit):
+            spark.conf.set(limit, BATCH_BYTES)
         atexit.register(self.close)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

@@ -269,7 +269,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _marked(sets: DataFrame) -> DataFrame:
-    """``sets`` with the number of shingles ``n`` and a bit array of them, ``b0`` to ``b3``."""
+    """``(key, x)``: of each paragraph the number of shingles ``n``, a bit array of them, ``b0`` to ``b3``, and its band keys, ``k0`` and on."""
 
     @F.arrow_udf("struct<b0:long,b1:long,b2:long,b3:long>")
     def bits(shingles: pa.Array) -> pa.Array:
@@ -279,7 +279,8 @@ def _marked(sets: DataFrame) -> DataFrame:
         words = np.packbits(out, axis=1, bitorder="little").view(np.int64).reshape(-1, 4)
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)], ["b0", "b1", "b2", "b3"])
 
-    return sets.select("key", "bands", (F.octet_length("shingles") / 4).cast("int").alias("n"), bits("shingles").alias("b")).select("key", "bands", "n", "b.*")
+    rows = sets.select("key", "bands", (F.octet_length("shingles") / 4).cast("int").alias("n"), bits("shingles").alias("b"))
+    return rows.select("key", F.struct("key", "n", "b.*", *[F.get("bands", i).alias(f"k{i}") for i in range(BANDS)]).alias("x"))
 
 
 def _may_be_similar(x: str, y: str) -> Column:
@@ -299,28 +300,28 @@ def _may_be_similar(x: str, y: str) -> Column:
 
 def paragraph_classes(sets: DataFrame, ws: Workspace) -> DataFrame:
     """``(node, component)`` of the paragraphs ``sets(key, shingles, bands)`` linked by similarity, from all pairs that collide in a band."""
-    own = F.struct("key", "n", "b0", "b1", "b2", "b3", *[F.get("bands", i).alias(f"k{i}") for i in range(BANDS)])
-    banded = _marked(sets).select(own.alias("x"), F.posexplode("bands").alias("band", "bucket"))
-    buckets = banded.groupBy("band", "bucket").agg(F.min("x.key").alias("lo"), F.max("x.key").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    marks = ws.save(_marked(sets), "marks")
+    banded = sets.select("key", F.posexplode("bands").alias("band", "bucket"))
+    buckets = banded.groupBy("band", "bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
     buckets = ws.save(buckets.select("band", "bucket", "size"), "buckets")
     members = ws.save(banded.join(buckets, ["band", "bucket"]), "members")
     # a bucket's leader is the member that meets most others over all bands: the least changed of a group of copies
-    scores = ws.save(members.groupBy(F.col("x.key").alias("key")).agg(F.sum("size").alias("score")), "scores")
-    scored = members.join(scores, F.col("x.key") == F.col("key")).drop("key")
-    leaders = ws.save(scored.groupBy("band", "bucket").agg(F.max_by("x", F.struct("score", "x.key")).alias("y")), "leaders")
-    pairs = members.join(leaders, ["band", "bucket"]).where((F.col("x.key") != F.col("y.key")) & _may_be_similar("x", "y"))
-    links = ws.save(_verified(pairs.select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct(), sets), "links")
+    scores = ws.save(members.groupBy("key").agg(F.sum("size").alias("score")), "scores")
+    leaders = ws.save(members.join(scores, "key").groupBy("band", "bucket").agg(F.max_by("key", F.struct("score", "key")).alias("leader")), "leaders")
+    pairs = members.join(leaders, ["band", "bucket"]).where("key <> leader").select(F.col("key").alias("u"), F.col("leader").alias("v")).distinct()
+    left, right = (marks.select(F.col("key").alias(k), F.col("x").alias(x)) for k, x in (("u", "x"), ("v", "y")))
+    pairs = pairs.join(left, "u").join(right, "v").where(_may_be_similar("x", "y")).select("u", "v")
+    links = ws.save(_verified(pairs, sets), "links")
     classes = ws.save(connected_components(links, ws, "first"), "first")
-    named = members.join(classes, F.col("x.key") == F.col("node"), "left").select("band", "bucket", "x", F.coalesce("component", "x.key").alias("c"))
+    named = members.join(classes, F.col("key") == F.col("node"), "left").select("band", "bucket", "key", F.coalesce("component", "key").alias("c"))
     named = ws.save(named, "named")
     sizes = named.groupBy("band", "bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-    open_ = sizes.groupBy("band", "bucket").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    open_ = ws.save(open_.select("band", "bucket", "most"), "open")
-    rest = ws.save(named.join(open_, ["band", "bucket"]), "rest")
-    work = rest.groupBy("band", "bucket").agg((F.count_if(F.col("c") != F.col("most")) * F.count(F.lit(1))).alias("n"))
-    crowded = ws.save(work.where(F.col("n") > PAIRS).select("band", "bucket"), "crowded")
-    by_prefix = _rare_meetings(rest.join(crowded, ["band", "bucket"], "left_semi"), sets, ws)
-    rest = rest.join(crowded, ["band", "bucket"], "left_anti")
+    open_ = sizes.groupBy("band", "bucket").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    work = (F.col("n") - F.col("n_most")) * F.col("n")
+    open_ = ws.save(open_.select("band", "bucket", "most", (work > PAIRS).alias("crowded")), "open")
+    rest = ws.save(named.join(open_, ["band", "bucket"]).join(marks, "key").select("band", "bucket", "x", "c", "most", "crowded"), "rest")
+    by_prefix = _rare_meetings(rest.where("crowded"), sets, ws)
+    rest = rest.where("NOT crowded")
     out = rest.where("c <> most").select("band", "bucket", "x", F.col("c").alias("cx"))
     others = rest.select("band", "bucket", F.col("x").alias("y"), F.col("c").alias("cy"))
     # a pair that meets in several bands is looked at in the first of them
