@@ -16,8 +16,10 @@ import pyarrow as pa
 
 from quillframe.llm.common import claim
 
-#: Pieces whose ids a Python worker remembers before it starts anew.
-CACHE_PIECES = 600_000
+#: Bytes, about, of the pieces whose ids a Python worker remembers before it starts anew; up to twice as many are held.
+CACHE_BYTES = 56 << 20
+#: Bytes of a remembered piece beside its characters and ids, and beside its characters where only ids are counted.
+PIECE_BYTES, COUNTED_BYTES = 180, 140
 
 #: Line ends and spaces between two other characters.
 _LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
@@ -62,7 +64,9 @@ class Encoder:
     two generations so that frequent ones stay.
     """
 
-    def __init__(self, path: str, spec: str | None = None, cache_pieces: int = CACHE_PIECES):
+    piece_bytes = PIECE_BYTES
+
+    def __init__(self, path: str, spec: str | None = None, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,7 +77,7 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
         self.code = "H" if self.width == 2 else "I"
-        self.limit = cache_pieces
+        self.limit, self.held = cache_bytes, 0
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.line_end = self._raw(["\n"])[0]
@@ -101,12 +105,20 @@ class Encoder:
             done = self.words.encode(lines, add_special_tokens=False)
             raw = np.array(done.ids, self.dtype).tobytes()
             ends = np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(some)), "right") * self.width
-            start = 0
-            for end in ends.tolist():
-                out.append(raw[start:end])
-                start = end
+            out += self._parts(raw, ends)
         return out
 
+    def _parts(self, raw: bytes, ends: np.ndarray) -> list[bytes]:
+        ends = ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _text(self, pieces: list[bytes]) -> bytes:
+        """Of the pieces of a text, the first of which began with a line end."""
+        return b"".join(pieces)[len(self.line_end) :]
+
+    def _lines(self, lines: list[list[bytes]]) -> bytes:
+        return self.line_end.join(map(b"".join, lines))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.safe:
             return [self._raw([t])[0] for t in texts]
@@ -124,8 +136,8 @@ class Encoder:
         for text in texts:
             pieces += ("\n" + text).replace("\n", " \n")[1:].split(" ")
             ends.append(len(pieces))
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
+        if self.held > self.limit:
+            self.old, self.new, self.held = self.new, {}, 0
         ids = list(map(self.new.get, pieces))
         absent = list(compress(range(len(ids)), map(not_, ids)))
         if absent:
@@ -133,10 +145,10 @@ class Encoder:
             known = self.new.get
             for i in absent:
                 ids[i] = known(pieces[i])
-        skip, out = len(self.line_end), []
+        out = []
         for text, a, b in zip(texts, ends, ends[1:]):
             try:
-                out.append(b"".join(ids[a:b])[skip:])
+                out.append(self._text(ids[a:b]))
             except TypeError:  # a piece beside other white space
                 out.append(self._spaced(text))
         return out
@@ -147,7 +159,7 @@ class Encoder:
         pieces = {("" if i == 0 else " ") + p for line in lines for i, p in enumerate(line)}
         names = list(pieces)
         ids = dict(zip(names, self._raw(names)))
-        return self.line_end.join(b"".join(ids[("" if i == 0 else " ") + p] for i, p in enumerate(line)) for line in lines)
+        return self._lines([[ids[("" if i == 0 else " ") + p] for i, p in enumerate(line)] for line in lines])
 
     def _learn(self, wanted: set[str]) -> None:
         """Puts the ids of pieces into ``new``; marks after a word are looked up apart from it.
@@ -155,6 +167,7 @@ class Encoder:
         Pieces without a word or with white space at an end stay out: their ids
         depend on what stands beside them.
         """
+        self.held += sum(map(len, wanted)) * 2 + self.piece_bytes * len(wanted)
         kept = wanted & self.old.keys()
         self.new.update((p, self.old[p]) for p in kept)
         ended, words, others = [], [], []
@@ -180,15 +193,33 @@ class Encoder:
         self.new.update((p, self.new[w] + ids[m]) for p, w, m in ended)
 
 
-_encoders: dict[str, Encoder] = {}
+class TokenCounter(Encoder):
+    """The numbers of ids of texts; what it remembers of a piece is a number."""
+
+    piece_bytes = COUNTED_BYTES
+
+    def _raw(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, raw: bytes, ends: np.ndarray) -> list[int]:
+        return (np.diff(ends, prepend=0) // self.width).tolist()
+
+    def _text(self, pieces: list[int]) -> int:
+        return sum(pieces) - self.line_end
+
+    def _lines(self, lines: list[list[int]]) -> int:
+        return sum(map(sum, lines)) + self.line_end * (len(lines) - 1)
+
+
+_encoders: dict[tuple[type, str], Encoder] = {}
 
 
-def encoder(path: str, spec: str | None = None) -> Encoder:
-    """The encoder of this Python process for a tokenizer file."""
-    claim("encode", _encoders.clear)
-    if path not in _encoders:
-        _encoders[path] = Encoder(path, spec)
-    return _encoders[path]
+def encoder(path: str, spec: str | None = None, kind: type = Encoder) -> Encoder:
+    """The encoder, or another ``kind``, of this Python process for a tokenizer file."""
+    claim(f"encode {kind.__name__}", _encoders.clear)
+    if (kind, path) not in _encoders:
+        _encoders[kind, path] = kind(path, spec)
+    return _encoders[kind, path]
 
 
 def texts_of(batch: pa.Array) -> list[str]:

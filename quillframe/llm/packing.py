@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import Workspace, utf8
-from quillframe.llm.encode import encoder
+from quillframe.llm.common import Workspace, some, utf8
+from quillframe.llm.encode import TokenCounter, encoder
 
 #: Tokens in a sequence.
 CAPACITY = 2048
@@ -110,9 +110,12 @@ def measured(spark: SparkSession, text: Column, tokenizer: str) -> Column:
 
     @F.arrow_udf("struct<n_tokens:long,cluster:long>")
     def measure(texts: pa.Array) -> pa.Array:
-        enc, raw = encoder(tokenizer, sent.value), texts.to_pylist()
-        sizes = [len(ids) // enc.width for ids in enc.encode([t.decode("utf-8", "replace") for t in raw])]
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(map(content_cluster, raw), pa.int64())], ["n_tokens", "cluster"])
+        counter, sizes, clusters = encoder(tokenizer, sent.value, TokenCounter), [], []
+        for _, run in some(texts):
+            raw = run.to_pylist()
+            sizes += counter.encode([t.decode("utf-8", "replace") for t in raw])
+            clusters += map(content_cluster, raw)
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(clusters, pa.int64())], ["n_tokens", "cluster"])
 
     return measure(text)
 

@@ -9,12 +9,13 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quillframe.llm import tokenfile
-from quillframe.llm.encode import Encoder
+from quillframe.llm.encode import Encoder, TokenCounter
 from quillframe.llm.mph import MinimalPerfectHash, key_hashes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
 CACHED = Encoder(PATH, cache_bytes=10_000)
+COUNTED = TokenCounter(PATH, cache_bytes=10_000)
 TEXTS = [
     "", " ", "  a  b ", "the cat's mat. It's\n\nover ,there...\t x", "\n a\nb \n", "Ärger über çà, ñ! déjà-vu", "a.\nB,\nc!! d### $$$x 12 3a4 x's 's", "<|endoftext|> a<|endoftext|>b <|endoftext|>",
     "日本語 テキスト です　x y", "x\x1cy \x1c z\x85 w", "word," * 30, "naïvé é́ ʼs ’s", "a\r\nb \r c", "it'll we've I'd 'tis\n'twas",
@@ -28,13 +29,16 @@ def ids(raw):
 def test_encoder_equals_library():
     for text, raw in zip(TEXTS, CACHED.encode(TEXTS)):
         assert ids(raw) == PLAIN.encode(text, add_special_tokens=False).ids
+    assert COUNTED.encode(TEXTS) == [len(ids(raw)) for raw in CACHED.encode(TEXTS)]
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab éÀ'st.,!#$1२ \n\t\r\x1c\x85　|’*"), max_size=40) | st.text(max_size=30))
 def test_encoder_equals_library_on_any_text(text):
     text = text.encode("utf-8", "replace").decode()
-    assert ids(CACHED.encode([text])[0]) == PLAIN.encode(text, add_special_tokens=False).ids
+    want = PLAIN.encode(text, add_special_tokens=False).ids
+    assert ids(CACHED.encode([text])[0]) == want
+    assert COUNTED.encode([text]) == [len(want)]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 5000])
