@@ -35,8 +35,8 @@ from quillframe.llm.common import Workspace, claim, fresh, map_batches, some, ut
 ORDER = 4
 #: Entries (n-grams of the highest order times languages) of a shard; more n-grams make more shards.
 SHARD = 8_000_000
-#: Symbols looked at in one step.
-STEP = 1 << 20
+#: Symbols of a language counted in one step, and symbols scored in one step (each takes about a hundred bytes meanwhile).
+STEP, SCORED = 1 << 20, 1 << 17
 #: Standard deviations (from the median absolute deviation) above the median of the calibration rows at which a prediction is rejected.
 REJECT_SD = 6.0
 #: Bits over the square root of the symbols that a limit is higher by: three standard errors of a mean of symbols that vary by 2.5 bits.
@@ -226,10 +226,10 @@ class LanguageModel:
             if self.cells != (0, CELLS):
                 cell = g >> np.uint32(8) & np.uint32(CELLS - 1)
                 g = g[(cell >= self.cells[0]) & (cell < self.cells[1])]
-            for at in range(0, len(g), STEP):
-                waiting.append((i, g[at : at + STEP]))
+            for at in range(0, len(g), SCORED):
+                waiting.append((i, g[at : at + SCORED]))
                 size += len(waiting[-1][1])
-                if size >= STEP:
+                if size >= SCORED:
                     settle()
                     size = 0
         if waiting:
