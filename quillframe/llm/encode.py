@@ -16,8 +16,8 @@ import pyarrow as pa
 
 from quillframe.llm.common import claim
 
-#: Bytes, about, of the pieces whose ids a Python worker remembers before it starts anew; up to twice as many are held.
-CACHE_BYTES = 56 << 20
+#: Bytes, about, of the pieces whose ids (or numbers of ids) a Python worker remembers before it starts anew; up to twice as many are held.
+CACHE_BYTES, COUNTED_CACHE_BYTES = 56 << 20, 32 << 20
 #: Bytes of a remembered piece beside its characters and ids, and beside its characters where only ids are counted.
 PIECE_BYTES, COUNTED_BYTES = 180, 140
 
@@ -64,9 +64,9 @@ class Encoder:
     two generations so that frequent ones stay.
     """
 
-    piece_bytes = PIECE_BYTES
+    piece_bytes, cache_bytes = PIECE_BYTES, CACHE_BYTES
 
-    def __init__(self, path: str, spec: str | None = None, cache_bytes: int = CACHE_BYTES):
+    def __init__(self, path: str, spec: str | None = None, cache_bytes: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,7 +77,7 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
         self.code = "H" if self.width == 2 else "I"
-        self.limit, self.held = cache_bytes, 0
+        self.limit, self.held = cache_bytes or self.cache_bytes, 0
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.line_end = self._raw(["\n"])[0]
@@ -196,7 +196,7 @@ class Encoder:
 class TokenCounter(Encoder):
     """The numbers of ids of texts; what it remembers of a piece is a number."""
 
-    piece_bytes = COUNTED_BYTES
+    piece_bytes, cache_bytes = COUNTED_BYTES, COUNTED_CACHE_BYTES
 
     def _raw(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
