@@ -17,7 +17,7 @@ import pyarrow as pa
 from quillframe.llm.common import claim
 
 #: Bytes, about, of the pieces whose ids (or numbers of ids) a Python worker remembers before it starts anew; up to twice as many are held.
-CACHE_BYTES, COUNTED_CACHE_BYTES = 56 << 20, 32 << 20
+CACHE_BYTES, COUNTED_CACHE_BYTES = 96 << 20, 32 << 20
 #: Bytes of a remembered piece beside its characters and ids, and beside its characters where only ids are counted.
 PIECE_BYTES, COUNTED_BYTES = 180, 140
 
