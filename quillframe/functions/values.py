@@ -100,6 +100,21 @@ def folded(v: Value, nocase: bool) -> Column:
     return F.lower(v.col) if nocase and v.kind == TEXT else v.col
 
 
+def case_range(x: Column, texts: list[str], prefix: bool = False) -> Column | None:
+    """What holds for every ``x`` that equals one of the texts, or begins with one, but for case; None where that is unknown.
+
+    Of ASCII letters capitals come first. Two other letters have an ASCII letter
+    in their small form; they come after all of ASCII.
+    """
+    if not all(p.isascii() and p for p in texts):
+        return None
+    first = min(p.upper() for p in texts)
+    last = max(p.lower().replace("i", "\u0130").replace("k", "\u212a") for p in texts)
+    if prefix:
+        return (x >= first) & (x < last[:-1] + chr(ord(last[-1]) + 1))
+    return (x >= first) & (x <= last)
+
+
 def alike(a: Value, b: Value, nocase: bool) -> tuple[Column, Column]:
     """Both sides of a comparison in one comparable form.
 

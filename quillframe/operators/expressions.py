@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -81,7 +82,23 @@ class Lowering:
         if isinstance(e, t.Binary) and e.op in ("and", "or") and not (self.made and self.canonical(e) in self.made):
             a, b = self.condition(e.left), self.condition(e.right)
             return a & b if e.op == "and" else a | b
-        return v.as_truth(self.value(e))
+        found = v.as_truth(self.value(e))
+        bounds = self.bounds(e) if self.nocase and self.made is None else None
+        return found if bounds is None else bounds & found
+
+    def bounds(self, e: t.Expr) -> Column | None:
+        """A range that a text column lies in where the filter holds: unlike its folded form, the column itself is compared in the files."""
+        match e:
+            case t.Binary("=", t.Name() as name, t.Literal(str() as text)) | t.Binary("=", t.Literal(str() as text), t.Name() as name):
+                texts, prefix = [text], False
+            case t.InList(t.Name() as name, items, False) if items and all(isinstance(x, t.Literal) and isinstance(x.value, str) for x in items):
+                texts, prefix = [x.value for x in items], False
+            case t.Like(t.Name() as name, t.Literal(str() as pattern), False):
+                texts, prefix = [re.split("[%_]", pattern)[0]], True
+            case _:
+                return None
+        x = self.value(name)
+        return v.case_range(x.col, texts, prefix) if x.kind == v.TEXT else None
 
     def between(self, e: t.Between) -> v.Value:
         x, low, high = (self.value(y) for y in (e.x, e.low, e.high))

@@ -71,7 +71,7 @@ class Shell:
             rows = done.rows()
             self.say(render(done.df.columns, rows))
             if self.stats:
-                self.say(footer(len(rows), (time.perf_counter() - began) * 1000))
+                self.say(footer(len(rows), (time.perf_counter() - began) * 1000, done.scanned()))
         except (SqlError, PySparkException) as e:
             self.say(f"Error: {str(e).splitlines()[0]}")
 

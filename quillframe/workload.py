@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from quillframe.engine import Engine
+from quillframe.plans.lexer import SqlError
 from quillframe.sources.shared import shared_folder
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -219,19 +220,74 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["n_nationkey"], r["n_name"]) for r in rows], "n_nationkey int, n_name string")
 
 
+#: A file with a short, a long and a blank row, empty cells, and quotes, line ends and separators inside cells.
+RAGGED = 'id,name,score,ok\n1,"Smith, J",2,true\n2,,"3.5"\n\n3,"two\nlines",,FALSE,more\n4,"a ""b""",7,\n'
+
+
+def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``RAGGED`` as a table."""
+    path = f"{shared_folder(spark)}/ragged-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(f"{path}/ragged.csv")
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(RAGGED.encode()))
+    out.close()
+    e = Engine(spark)
+    e.query(f"LOAD '{path}' AS t")
+    return e.sql("SELECT * FROM t")
+
+
+def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CSV file that the driver writes, line by line."""
+    e = engine(spark, sf_dir, ("nation",))
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(f"{folder}/nations.csv")
+        e.query(f"EXPORT (SELECT n_nationkey, n_name, NULL AS none, CONCAT(n_name, ',x') AS t FROM nation ORDER BY n_nationkey) TO '{path}' FORMAT CSV")
+        lines = path.read_text(encoding="utf-8").splitlines()
+    return spark.createDataFrame(list(enumerate(lines)), "row int, line string")
+
+
+#: Statements that are errors.
+ERRORS = {
+    "ambiguous": "SELECT n_name FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey",
+    "function": "SELECT NOSUCH(n_name) FROM nation",
+    "column": "SELECT nothing FROM nation",
+    "table": "SELECT * FROM nothing",
+    "load": "LOAD '/nothing/here.csv' AS t",
+    "export": "EXPORT (SELECT nothing FROM nation) TO '/nothing/here.csv'",
+    "rest": "SELECT n_name FROM nation LIMIT 1 1",
+}
+
+
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each of ``ERRORS`` is refused."""
+    e = engine(spark, sf_dir, ("nation",))
+    rows = []
+    for name, statement in ERRORS.items():
+        try:
+            e.query(statement)
+            rows.append((name, False))
+        except SqlError:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "name string, refused boolean")
+
+
 def show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, ("region", "nation")).sql("SHOW TABLES").drop("source")
 
 
 def queries() -> dict[str, Query]:
     found = {name: _sql(sql) for name, (sql, _) in SQL.items()} | {name: _script(s) for name, (s, _) in SCRIPTS.items()}
-    return found | {"csv_roundtrip": csv_roundtrip, "export_json_roundtrip": export_json, "show_tables": show_tables}
+    return found | {"csv_roundtrip": csv_roundtrip, "csv_ragged": csv_ragged, "export_csv_lines": export_csv, "export_json_roundtrip": export_json, "errors": errors, "show_tables": show_tables}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: ansi or sql for name, (sql, ansi) in SQL.items()} | {name: ansi for name, (_, ansi) in SCRIPTS.items()}
     return found | {
         "csv_roundtrip": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
+        "csv_ragged": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'Smith, J', CAST(2 AS DOUBLE), TRUE), (2, NULL, 3.5, NULL), (3, 'two' || chr(10) || 'lines', NULL, FALSE), (4, 'a \"b\"', 7, NULL)) t(id, name, score, ok)",
+        "export_csv_lines": "SELECT 0 AS row, 'n_nationkey,n_name,none,t' AS line UNION ALL SELECT n_nationkey + 1, n_nationkey || ',' || n_name || ',,\"' || n_name || ',x\"' FROM nation",
+        "errors": "SELECT name, TRUE AS refused FROM (VALUES " + ", ".join(f"('{x}')" for x in ERRORS) + ") t(name)",
         "export_json_roundtrip": "SELECT n_nationkey, n_name FROM nation",
         "show_tables": "SELECT 'region' AS table_name, COUNT(*) AS rows, CAST(2 AS INTEGER) AS columns FROM region UNION ALL SELECT 'nation', COUNT(*), CAST(3 AS INTEGER) FROM nation",
     }

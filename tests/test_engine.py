@@ -222,3 +222,39 @@ def test_filters_reach_the_files(spark, tmp_path):
     plan = e.explain("SELECT id FROM t")
     assert "struct<id:bigint>" in plan
     assert e.query("SELECT id FROM t WHERE name = 'N50'").rows() == []
+
+
+def test_text_filters_reach_the_files_in_any_case(spark, tmp_path):
+    names = ["Brand#3", "BRAND#3", "brand#3", "brand#4", "bRand#35", "\u212aiwi", "kiwi", "KIWI", "k\u0130wi", "kiwis", "\u0130x", "ix", "IX", "zebra", "", None, "straße"]
+    rows = list(enumerate(names))
+    spark.createDataFrame(rows, "id long, name string").write.parquet(str(tmp_path / "t"))
+    e = Engine(spark)
+    e.register("t", spark.read.parquet(str(tmp_path / "t")))
+    for where, keep in (
+        ("name = 'Brand#3'", lambda s: s.lower() == "brand#3"),
+        ("'KIWI' = name", lambda s: s.lower() == "kiwi"),
+        ("name IN ('kiwi', 'Zebra')", lambda s: s.lower() in ("kiwi", "zebra")),
+        ("name LIKE 'ki%'", lambda s: s.lower().startswith("ki")),
+        ("name LIKE 'I%X'", lambda s: s.lower().startswith("i") and s.lower().endswith("x")),
+        ("name LIKE 'brand__' OR name = 'IX'", lambda s: s.lower().startswith("brand") and len(s) == 7 or s == "ix" or s == "IX"),
+        ("name = ''", lambda s: s == ""),
+        ("name = 'STRAßE'", lambda s: s.lower() == "straße"),
+        ("NOT name = 'kiwi'", lambda s: s.lower() != "kiwi"),
+        ("name LIKE '%a'", lambda s: s.lower().endswith("a")),
+    ):
+        got = [r[0] for r in e.query(f"SELECT id FROM t WHERE {where} ORDER BY id").rows()]
+        assert got == [i for i, s in rows if s is not None and keep(s)], where
+    for where, bounds in (("name = 'Brand#3'", ("GreaterThanOrEqual(name,BRAND#3)", "LessThanOrEqual(name,brand#3)")), ("name LIKE 'bra%'", ("GreaterThanOrEqual(name,BRA)", "LessThan(name,brb)"))):
+        plan = e.explain(f"SELECT id FROM t WHERE {where}")
+        pushed = plan[plan.rindex("PushedFilters") :].splitlines()[0]
+        assert all(x in pushed for x in bounds), pushed
+
+
+def test_rows_scanned(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    e = Engine(spark)
+    e.register("t", spark.read.parquet(str(tmp_path / "t")))
+    done = e.query("SELECT COUNT(*) AS n FROM t")
+    assert done.rows() == [(100,)] and done.scanned() == 100
+    done = e.query("SELECT a.id FROM t a JOIN (SELECT id FROM t ORDER BY id LIMIT 5) b ON a.id = b.id")
+    assert len(done.rows()) == 5 and done.scanned() >= 100
