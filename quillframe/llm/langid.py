@@ -21,6 +21,7 @@ short text varies by.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,13 +31,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import Workspace, claim, fresh, map_batches, some, utf8
+from quillframe.llm.common import Workspace, claim, fresh, some, utf8
 
 ORDER = 4
 #: Entries (n-grams of the highest order times languages) of a shard; more n-grams make more shards.
 SHARD = 8_000_000
-#: Symbols of a language counted in one step, and symbols scored in one step (each takes about a hundred bytes meanwhile).
+#: Symbols counted in one step, and symbols scored in one step (each takes about a hundred bytes meanwhile).
 STEP, SCORED = 1 << 20, 1 << 17
+#: Different n-grams, times languages, that a task counts before it sends their sums on.
+SUMS = 1 << 20
 #: Standard deviations (from the median absolute deviation) above the median of the calibration rows at which a prediction is rejected.
 REJECT_SD = 6.0
 #: Bits over the square root of the symbols that a limit is higher by: three standard errors of a mean of symbols that vary by 2.5 bits.
@@ -84,37 +87,45 @@ def grams(text: bytes) -> np.ndarray:
 def count_grams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """``(lang, gram, n)`` over all rows with a language."""
 
-    def run(batch: pa.RecordBatch):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid")
         waiting: dict[str, list[np.ndarray]] = {}
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-        def settle(lang: str) -> None:
-            found, n = np.unique(np.concatenate(waiting.pop(lang)), return_counts=True)
-            if lang in sums:
-                old, m = sums[lang]
-                both, at = np.unique(np.concatenate([old, found]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([m, n]), len(both)).astype(np.int64)
-                found = both
-            sums[lang] = found, n
-
-        size: dict[str, int] = {}
-        langs = batch.column(0).to_pylist()
-        for at, texts in some(batch.column(1)):
-            for lang, text in zip(langs[at:], texts.to_pylist()):
-                g = grams(text)
-                waiting.setdefault(lang, []).append(g)
-                size[lang] = size.get(lang, 0) + len(g)
-                if size[lang] > STEP:
-                    settle(lang)
-                    size[lang] = 0
-        for lang in list(waiting):
-            settle(lang)
-        for lang, (found, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+        def settle() -> None:
+            for lang, pending in waiting.items():
+                found, n = np.unique(np.concatenate(pending), return_counts=True)
+                if lang in sums:
+                    old, m = sums[lang]
+                    both, at = np.unique(np.concatenate([old, found]), return_inverse=True)
+                    n = np.bincount(at, np.concatenate([m, n]), len(both)).astype(np.int64)
+                    found = both
+                sums[lang] = found, n
+            waiting.clear()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, (found, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+            sums.clear()
+
+        size = 0
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            for at, texts in some(batch.column(1)):
+                for lang, text in zip(langs[at:], texts.to_pylist()):
+                    g = grams(text)
+                    waiting.setdefault(lang, []).append(g)
+                    size += len(g)
+                    if size > STEP:
+                        settle()
+                        size = 0
+            if sum(len(found) for found, _ in sums.values()) > SUMS:
+                yield from counted()
+        settle()
+        yield from counted()
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), utf8(F.col(text_col)).alias("text"))
-    parts = map_batches(rows, run, "lang string, gram long, n long")
+    parts = rows.mapInArrow(run, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
