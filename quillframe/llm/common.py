@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of rows that go to Python at once, unless the session says otherwise; long texts would make larger batches than workers have room for.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes of a side that is broadcast, at most; beyond it the join is a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -81,6 +81,21 @@ class Workspace:
 
 
 _held: dict[str, Callable[[], object]] = {}
+#: glibc's ``mallopt`` parameters of malloc.h (trim threshold, mmap threshold, arenas) and what a worker sets them to: large blocks go back to the system when they are freed.
+MALLOPT = {-1: 256 << 10, -3: 256 << 10, -8: 1}
+_thrifty: list[bool] = []
+
+
+def thrifty() -> None:
+    """Makes this process give large blocks back to the system as they are freed, those of Arrow too."""
+    if _thrifty:
+        return
+    _thrifty.append(True)
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        for parameter, value in MALLOPT.items():
+            mallopt(parameter, value)
+        pa.set_memory_pool(pa.system_memory_pool())
 
 
 def claim(name: str, clear: Callable[[], object] = lambda: None) -> None:
@@ -89,6 +104,7 @@ def claim(name: str, clear: Callable[[], object] = lambda: None) -> None:
     Spark uses Python workers again for later stages; without this the caches
     of all operators that ran before would add up in them.
     """
+    thrifty()
     if name not in _held:
         while _held:
             _held.popitem()[1]()
