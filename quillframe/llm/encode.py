@@ -211,15 +211,16 @@ class TokenCounter(Encoder):
         return sum(map(sum, lines)) + self.line_end * (len(lines) - 1)
 
 
-_encoders: dict[tuple[type, str], Encoder] = {}
+_encoders: dict[tuple[type, str, int | None], Encoder] = {}
 
 
-def encoder(path: str, spec: str | None = None, kind: type = Encoder) -> Encoder:
-    """The encoder, or another ``kind``, of this Python process for a tokenizer file."""
-    claim(f"encode {kind.__name__}", _encoders.clear)
-    if (kind, path) not in _encoders:
-        _encoders[kind, path] = kind(path, spec)
-    return _encoders[kind, path]
+def encoder(path: str, spec: str | None = None, kind: type = Encoder, cache_bytes: int | None = None) -> Encoder:
+    """The encoder, or another ``kind``, of this Python process for a tokenizer file; one with another memory gives way to it."""
+    claim(f"encode {kind.__name__} {cache_bytes}", _encoders.clear)
+    key = kind, path, cache_bytes
+    if key not in _encoders:
+        _encoders[key] = kind(path, spec, cache_bytes)
+    return _encoders[key]
 
 
 def texts_of(batch: pa.Array) -> list[str]:

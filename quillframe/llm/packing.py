@@ -103,14 +103,14 @@ def content_cluster(text: bytes) -> int | None:
     return xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63) if words else None
 
 
-def measured(spark: SparkSession, text: Column, tokenizer: str) -> Column:
+def measured(spark: SparkSession, text: Column, tokenizer: str, cache_bytes: int | None = None) -> Column:
     """(n_tokens, cluster) of each text (bytes); the tokenizer file is sent from the driver."""
     with open(tokenizer, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
 
     @F.arrow_udf("struct<n_tokens:long,cluster:long>")
     def measure(texts: pa.Array) -> pa.Array:
-        counter, sizes, clusters = encoder(tokenizer, sent.value, TokenCounter), [], []
+        counter, sizes, clusters = encoder(tokenizer, sent.value, TokenCounter, cache_bytes), [], []
         for _, run in some(texts):
             raw = run.to_pylist()
             sizes += counter.encode([t.decode("utf-8", "replace") for t in raw])
@@ -120,7 +120,7 @@ def measured(spark: SparkSession, text: Column, tokenizer: str) -> Column:
     return measure(text)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_tokens: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster=None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_tokens: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster=None, cache_bytes: int | None = None) -> DataFrame:
     """Where each piece of each document goes: ``(doc_id, piece, start, n_tokens, bin_id, offset)``.
 
     Token ids ``start`` up to ``start + n_tokens`` of the document (its ids and
@@ -130,11 +130,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     space). A null source conflicts with nothing; null and empty texts hold
     only their end ids. Every row is packed, repeated ones as often as they
     occur; an empty table packs to nothing. Other columns are not read.
+    ``cache_bytes`` is what a Python worker remembers of pieces of texts before
+    it starts anew (up to twice as much is held); it changes the speed only.
     """
     ws = Workspace(docs.sparkSession, "packing")
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        measured(docs.sparkSession, utf8(F.col(f"`{text_col}`")), tokenizer).alias("m"),
+        measured(docs.sparkSession, utf8(F.col(f"`{text_col}`")), tokenizer, cache_bytes).alias("m"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         (F.lit(None) if cluster is None else cluster).cast("long").alias("cluster"),
     )

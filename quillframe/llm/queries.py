@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quillframe.llm import decontam, html, langid, packing, passages, quality, rules, simhash, sql, tokenfile, urls
 from quillframe.llm.common import Workspace, table
 
-
+#: Bytes of pieces that a worker remembers in the packing query, which shares its executors with no other operator.
+PACKING_CACHE_BYTES = 192 << 20
 #: (host, path, verdict)
 URL_RULES = [
     ("com", "/", "allow"),
@@ -47,7 +48,7 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), cache_bytes=PACKING_CACHE_BYTES)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
