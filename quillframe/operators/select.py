@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +14,7 @@ from quillframe.functions import values as v
 from quillframe.functions.scalar import AGGREGATES, aggregate
 from quillframe.operators.expressions import Lowering, canonical
 from quillframe.operators.scope import Field, JoinScope, Scope, fresh
+from quillframe.operators.spread import spread
 from quillframe.plans import tree as t
 from quillframe.plans.catalog import Catalog
 from quillframe.plans.lexer import SqlError
@@ -87,20 +90,31 @@ class Planner:
         if join.kind == "cross":
             return Scope(left.df.crossJoin(right.df), both.fields)
         on = Lowering(both, self.run, self.nocase)
-        condition = None
+        keys, equal, rest, compares = [], [], [], False
+        sides = [{f.id for f in side.fields} for side in (left, right)]
         for part in conjuncts(join.on):
-            c = self.join_key(on, part)
-            condition = c if condition is None else condition & c
-        df = left.df.join(right.df, condition, join.kind)
+            key, ids = self.join_key(on, part), on.ids(part)
+            across = all(ids & side for side in sides)
+            if key is not None and across:
+                keys.append(tuple(next(iter(ids & side)) for side in sides))
+                equal.append(key)
+            else:
+                rest.append(on.condition(part) if key is None else key)
+                compares = compares or across
+        dealt = spread(left.df, right.df, keys, join.kind) if keys and compares else None
+        if dealt is None:
+            df = left.df.join(right.df, reduce(and_, equal + rest), join.kind)
+        else:
+            df = dealt[0].join(dealt[1], reduce(and_, rest, dealt[2]), join.kind)
         return Scope(df.select(*[f.id for f in both.fields]), both.fields)
 
-    def join_key(self, on: Lowering, part: t.Expr) -> Column:
-        """``column = column`` joins on the columns as they are, with regard to case, so that it stays an equi-join."""
+    def join_key(self, on: Lowering, part: t.Expr) -> Column | None:
+        """``column = column`` joins on the columns as they are, with regard to case, so that it stays an equi-join; None for other conditions."""
         if isinstance(part, t.Binary) and part.op == "=" and isinstance(part.left, t.Name) and isinstance(part.right, t.Name):
             a, b = on.value(part.left), on.value(part.right)
             if a.kind == b.kind or a.kind in v.NUMBERS and b.kind in v.NUMBERS:
                 return a.col == b.col
-        return on.condition(part)
+        return None
 
     def filter(self, scope: Scope, low: Lowering, where: t.Expr) -> None:
         plain = []
