@@ -23,6 +23,13 @@ BROADCAST_BYTES = 32 << 20
 _own_root: list[str] = []
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Holds the rows that go to Python at once to ``BATCH_BYTES``."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(limit):
+        spark.conf.set(limit, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's reader so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,9 +62,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-        limit = "spark.sql.execution.arrow.maxBytesPerBatch"
-        if not spark._jsparkSession.sessionState().conf().contains(limit):
-            spark.conf.set(limit, BATCH_BYTES)
+        bound_batches(spark)
         atexit.register(self.close)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

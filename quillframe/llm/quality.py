@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import some, utf8
+from quillframe.llm.common import bound_batches, claim, some, utf8
 
 #: Documents, about, that the scorer is fitted on; chosen by a hash of the text.
 SAMPLE_ROWS = 10_000
@@ -122,12 +122,12 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed bins and values of unit length: words in lower case, and each measure's step on a log scale."""
+def features(text: bytes, measured: tuple[int, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed bins and values of unit length: words in lower case, and each measure's step on a log scale (of ``measures``, where they are known)."""
     counts = Counter(zlib.crc32(w) % BINS for w in text.lower().split())
     size = sum(v * v for v in counts.values()) ** 0.5 or 1.0
     bins = {b: v / size for b, v in counts.items()}
-    n, values = measures(text)
+    n, values = measured or measures(text)
     for name, x in zip(MEASURES, values.tolist()):
         key = zlib.crc32(f"{name} {int(np.log2(x + 1 / 64) * 2)}".encode()) % BINS if n else zlib.crc32(b"empty") % BINS
         bins[key] = bins.get(key, 0.0) + 1.0
@@ -165,11 +165,13 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
     not depend on the order or partitions of the rows; copies of a text stand
     in it together, each with the weight one over its copies in the sample.
     """
+    bound_batches(docs.sparkSession)
     text = utf8(F.col(f"`{text_col}`"))
 
     @F.arrow_udf("long")
     def vote(texts: pa.Array) -> pa.Array:
-        return pa.array([votes(*measures(t)) for t in texts.to_pylist()], pa.int64())
+        claim("quality")
+        return pa.array([votes(*measures(t)) for _, part in some(texts) for t in part.to_pylist()], pa.int64())
 
     counts = docs.select(vote(text).alias("p")).groupBy("p").count().collect()
     patterns, n = np.array([r.p for r in counts], np.int64), np.array([r["count"] for r in counts], float)
@@ -178,10 +180,12 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
 
     @F.arrow_udf("struct<pattern:long,bins:binary,values:binary>")
     def describe(texts: pa.Array) -> pa.Array:
+        claim("quality")
         rows = []
-        for t in texts.to_pylist():
-            bins, values = features(t)
-            rows.append({"pattern": votes(*measures(t)), "bins": bins.tobytes(), "values": values.tobytes()})
+        for t in (t for _, part in some(texts) for t in part.to_pylist()):
+            measured = measures(t)
+            bins, values = features(t, measured)
+            rows.append({"pattern": votes(*measured), "bins": bins.tobytes(), "values": values.tobytes()})
         return pa.array(rows, pa.struct([("pattern", pa.int64()), ("bins", pa.binary()), ("values", pa.binary())]))
 
     share = min(1.0, sample_rows / max(total, 1))
@@ -202,16 +206,18 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str
     repeated ones alike. A column already named ``out`` is replaced; all others
     are kept, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<score:double,label_posterior:double,kept:boolean>")
     def run(texts: pa.Array) -> pa.Array:
+        claim("quality")
         model, z, patterns = sent.value, [], []
         words = []
         for t in (t for _, part in some(texts) for t in part.to_pylist()):
-            bins, values = features(t)
-            z.append(float(model.weights[bins] @ values) + model.weights[-1])
             n, found = measures(t)
+            bins, values = features(t, (n, found))
+            z.append(float(model.weights[bins] @ values) + model.weights[-1])
             words.append(n > 0)
             patterns.append(votes(n, found))
         there = np.array(words, bool)

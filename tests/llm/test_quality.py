@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quillframe.llm import quality
-from quillframe.llm.common import table
+from quillframe.llm.common import BATCH_BYTES, table
 
 SCHEMA = "doc_id long, text string, quality string, score string"
 
@@ -70,3 +70,14 @@ def test_against_labels(spark):
     good, bad = ([r.kept for r in got if r.quality == q] for q in (1, 0))
     assert sum(good) / len(good) > 0.99
     assert 1 - sum(bad) / len(bad) > 0.9
+
+
+def test_batches_are_bounded(spark):
+    # nothing but the operator itself holds the batches to what workers have room for
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.createDataFrame([(i, f"words of text {i}.", "a", "b") for i in range(20)], SCHEMA)
+    model = quality.train(df)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert quality.score(df, model).count() == 20
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
