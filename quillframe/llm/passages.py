@@ -27,12 +27,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import Workspace, claim, fresh, map_batches, small, some, utf8
 from quillframe.llm.components import connected_components
+from quillframe.llm.hashes import slice_hashes
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -47,13 +47,13 @@ FILTER_KEY_BITS, FILTER_BITS = 16, 1 << 27
 PAIRS = 1 << 20
 #: Members that meet in one rare shingle and are compared in one piece of work.
 CELL = 512
-#: Word hashes that a Python worker remembers.
-WORDS = 200_000
-
 #: Bytes of texts that are read at once.
 STEP = 1 << 20
 
 _MULT, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Which bytes are white space.
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: What a key is of, besides bands 0 and up: a piece, or a whole paragraph.
 _PIECE, _WHOLE = np.int8(-1), np.int8(-2)
 
@@ -68,19 +68,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _MULT)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > WORDS:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return slice_hashes(b"".join(words), np.cumsum(sizes) - sizes, sizes)
 
 
 def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -115,13 +105,15 @@ def cuts(hashes: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
         return starts
     sizes = np.diff(np.append(starts, n))
     local = np.arange(n) - np.repeat(starts, sizes)
-    least = ((local >= REACH) & (local < np.repeat(sizes, sizes) - 1 - REACH))[:-1]
+    first = (local >= REACH) & (local < np.repeat(sizes, sizes) - 1 - REACH)
+    least = first[:-1]
     with np.errstate(over="ignore"):
         pair = mix(hashes[:-1] * _MULT + hashes[1:])
     for shift in range(1, REACH + 1):
         least[shift:] &= pair[shift:] < pair[:-shift]
         least[:-shift] &= pair[:-shift] < pair[shift:]
-    return np.union1d(starts, np.flatnonzero(least))
+    first[starts] = True
+    return np.flatnonzero(first)
 
 
 def piece_keys(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -133,15 +125,16 @@ def piece_keys(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         return mix(np.add.reduceat(spread, firsts) + sizes.astype(np.uint64))
 
 
-def _paragraphs(hashes: np.ndarray, lines: list[tuple[int, int]]) -> tuple[list[np.ndarray], np.ndarray]:
+def _paragraphs(hashes: np.ndarray, lines: np.ndarray | list[tuple[int, int]]) -> tuple[list[np.ndarray], np.ndarray]:
     """Shingles of the paragraphs, and ids: keys of their words."""
     shingles = shingle_hashes(hashes)
-    sets = [shingles[a : b - SHINGLE + 1] for a, b in lines]
+    lines = np.asarray(lines, np.int64).reshape(-1, 2)
+    sets = [shingles[a : b - SHINGLE + 1] for a, b in lines.tolist()]
     if not sets:
         return sets, np.zeros(0, np.uint64)
-    sizes = np.array([b - a for a, b in lines])
+    sizes = lines[:, 1] - lines[:, 0]
     firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    words = np.arange(sizes.sum()) + np.repeat(np.array([a for a, _ in lines]) - firsts, sizes)
+    words = np.arange(sizes.sum()) + np.repeat(lines[:, 0] - firsts, sizes)
     return sets, piece_keys(hashes[words], firsts)
 
 
@@ -149,20 +142,21 @@ class Texts:
     """Some texts at once: hashes of all their words, where each text starts, its pieces and its paragraphs."""
 
     def __init__(self, texts: list[bytes]):
-        words: list[bytes] = []
-        starts, line_text = [0], []
-        self.lines: list[tuple[int, int]] = []
-        for i, text in enumerate(texts):
-            for line in text.lower().split(b"\n"):
-                found = line.split()
-                if len(found) >= RUN:
-                    self.lines.append((len(words), len(words) + len(found)))
-                    line_text.append(i)
-                words += found
-            starts.append(len(words))
-        self.starts = np.array(starts)
-        self.hashes = word_hashes(words)
-        self.line_text = np.array(line_text, np.int64)
+        text = b"\n".join([*texts, b""]).lower()
+        buffer = np.frombuffer(text, np.uint8)
+        # a word begins after white space, and ends before some
+        white = np.concatenate([[True], _WHITE[buffer], [True]])
+        edges = np.flatnonzero(white[1:] != white[:-1])
+        firsts, stops = edges[::2], edges[1::2]
+        self.hashes = slice_hashes(text, firsts, stops - firsts)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        self.starts = np.append(0, np.searchsorted(firsts, ends)).astype(np.int64)
+        breaks = np.flatnonzero(buffer == 0x0A)
+        after = np.searchsorted(firsts, breaks)
+        before = np.append(0, after[:-1])[: len(after)]
+        long = np.flatnonzero(after - before >= RUN)
+        self.lines = np.stack([before[long], after[long]], axis=1).astype(np.int64)
+        self.line_text = np.searchsorted(ends, breaks[long], "right").astype(np.int64)
         self.firsts = cuts(self.hashes, self.starts[:-1][np.diff(self.starts) > 0])
         self.stops = np.append(self.firsts[1:], len(self.hashes))
         self.piece_text = np.searchsorted(self.starts, self.firsts, "right") - 1
@@ -180,7 +174,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _keys_of(batch: pa.RecordBatch):
     """Rows (band, key, value): pieces and whole paragraphs with their document, bands with their paragraph."""
-    claim("passages", _hashes.clear)
+    claim("passages")
     docs = batch.column(0).to_numpy().view(np.uint64)
     for a, texts in some(batch.column(1), STEP):
         t = Texts(texts.to_pylist())
@@ -227,7 +221,7 @@ def _occurrences(sent):
     schema = pa.schema(list(zip([x.split()[0] for x in OCCURRENCE.split(", ")], kinds)))
 
     def run(batch: pa.RecordBatch):
-        claim("passages", _hashes.clear)
+        claim("passages")
         pieces, wholes, buckets = sent.value
         docs, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for a, texts in some(batch.column(2), STEP):
@@ -242,7 +236,7 @@ def _occurrences(sent):
             found = t.bands()
             j = np.flatnonzero(_passes(buckets, found).any(axis=1) | _passes(wholes, t.ids))
             at = t.line_text[j]
-            lines = (np.array([t.lines[k] for k in j], np.int64).reshape(-1, 2) - t.starts[at][:, None]).astype(np.int32)
+            lines = (t.lines[j] - t.starts[at][:, None]).astype(np.int32)
             sets = [np.unique(t.sets[k]).tobytes() for k in j]
             bands = [found[k].view(np.int64) for k in j]
             cols = [pa.array(docs[a:b][at]), pa.array(keys[a:b][at]), pa.nulls(len(j), kinds[2]), pa.array(lines[:, 0]), pa.array(lines[:, 1])]
@@ -342,7 +336,7 @@ def _prefixes(members: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
     """
 
     def spread(batch: pa.RecordBatch):
-        claim("passages", _hashes.clear)
+        claim("passages")
         for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = np.frombuffer(raw, np.uint32).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], ["key", "shingle"])

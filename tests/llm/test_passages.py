@@ -1,9 +1,11 @@
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 
 from quillframe.llm import passages
 from quillframe.llm.common import Workspace
@@ -172,3 +174,25 @@ def test_short_paragraphs_are_compared(spark):
             want[i] = len(edit) if m else 0
     got = cut(spark, rows)
     assert {i: r.passages.n_removed for i, r in got.items()} == want
+
+
+def test_words_of_a_text_are_hashed_at_once():
+    rng = random.Random(6)
+    texts = [b"", b"\n\n", b"A b\x0bC", *(bytes(rng.choice(b"aB \n\t\x0b\xc3\xa9\x00\x1c|") for _ in range(rng.randint(0, 900))) for _ in range(60))]
+    texts.append(b" ".join(bytes(rng.randrange(33, 256) for _ in range(n)) for n in range(1, 90)))
+    got = passages.Texts(texts)
+    found = [line.split() for text in texts for line in text.lower().split(b"\n")]
+    assert got.hashes.tolist() == [xxhash.xxh64_intdigest(w) for line in found for w in line]
+    assert np.diff(got.starts).tolist() == [len(t.split()) for t in texts]
+    assert (got.lines[:, 1] - got.lines[:, 0]).tolist() == [len(line) for line in found if len(line) >= passages.RUN]
+    assert got.line_text.tolist() == [i for i, t in enumerate(texts) for line in t.split(b"\n") if len(line.split()) >= passages.RUN]
+
+
+def test_workers_remember_no_words():
+    texts = [" ".join(f"{i}w{j}" for j in range(1000)).encode() for i in range(50)]
+    passages.Texts(texts)
+    tracemalloc.start()
+    passages.Texts([t.replace(b"w", b"v") for t in texts])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1 << 20
