@@ -8,8 +8,7 @@ import os
 import re
 import sys
 from array import array
-from itertools import compress
-from operator import not_
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,10 @@ PIECE_BYTES, COUNTED_BYTES = 180, 140
 #: Line ends and spaces between two other characters.
 _LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Latin letters, and then marks to the end of a piece: always one part of the byte-level pattern, or two.
-_WORD_AND_MARKS = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*#$%&]*)")
+#: Characters, about, of the texts that are cut at once.
+RUN_CHARS = 8 << 20
+#: Kinds of bytes; words with another one are not cut inside.
+_LETTER, _DIGIT, _MARK, _OTHER, _SPACE_KIND, _LINE = range(6)
 
 
 def pieces_are_safe(spec: dict) -> bool:
@@ -43,6 +44,9 @@ def pieces_are_safe(spec: dict) -> bool:
         and not pre.get("add_prefix_space")
         and model.get("type", "BPE") == "BPE"
         and not model.get("dropout")
+        and not model.get("continuing_subword_prefix")
+        and not model.get("end_of_word_suffix")
+        and model["vocab"].keys() >= set(byte_letters().values())
         and not spec.get("normalizer")
         and not spec.get("post_processor")
         and all(not re.search(r"\s", t["content"]) and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in spec.get("added_tokens", []))
@@ -56,12 +60,32 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def byte_kinds(added: Iterable[str] = ()) -> bytes:
+    """The kind of each byte of UTF-8: ASCII, and the letters from À to ÿ, whose first byte is C3.
+
+    Of another kind are all that the byte-level pattern takes in other ways:
+    apostrophes, further characters, other white space, and the first byte of
+    an added token. (The bytes 97 and B7 after C3 make the signs × and ÷.)
+    """
+    kinds = bytearray([_OTHER]) * 256
+    for b in range(0x21, 0x7F):
+        kinds[b] = _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _MARK
+    for b in (0xC3, *range(0x80, 0xC0)):
+        kinds[b] = _LETTER
+    for b in (ord("'"), 0x97, 0xB7, *[t.encode()[0] for t in added if t]):
+        kinds[b] = _OTHER
+    kinds[0x20], kinds[0x0A] = _SPACE_KIND, _LINE
+    return bytes(kinds)
+
+
 class Encoder:
     """Ids of texts as raw little-endian bytes, ``width`` bytes an id; the same ids as ``Tokenizer.encode``.
 
-    A text is cut at its spaces and line ends; a piece is a word after a space,
-    or a line end and the word after it. The ids of pieces are remembered, in
-    two generations so that frequent ones stay.
+    Texts are cut in bulk: at spaces and line ends, and inside words of plain
+    characters also between letters, digits and marks, as the byte-level
+    pattern does. A piece keeps the space before it. Equal pieces of some texts
+    are looked up once; ids are remembered in two generations, so that frequent
+    ones stay.
     """
 
     piece_bytes, cache_bytes = PIECE_BYTES, CACHE_BYTES
@@ -78,16 +102,19 @@ class Encoder:
         self.dtype = f"<u{self.width}"
         self.code = "H" if self.width == 2 else "I"
         self.limit, self.held = cache_bytes or self.cache_bytes, 0
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.line_end = self._raw(["\n"])[0]
         spec = json.loads(spec)
         self.safe = pieces_are_safe(spec)
         if self.safe:
-            # the same model over words that are one part of the byte-level pattern each, a line a word
-            lines = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
-            self.words = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": lines, "decoder": None, "added_tokens": []}))
-            self.letters = {b: c for b, c in byte_letters().items() if b != 0x0A}
+            self.model = self.tokenizer.model
+            self.sizes = np.zeros(max(spec["model"]["vocab"].values()) + 1, np.int64)
+            for token, i in spec["model"]["vocab"].items():
+                self.sizes[i] = len(token)
+            self.letters = {chr(b): c for b, c in byte_letters().items() if b != 0x0A and chr(b) != c}
+            self.kinds = byte_kinds(t["content"] for t in spec.get("added_tokens", []))
+            self.plain = bytes(b for b in range(256) if self.kinds[b] not in (_LINE, _OTHER))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         ids = [array(self.code, e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,25 +123,28 @@ class Encoder:
                 a.byteswap()
         return [a.tobytes() for a in ids]
 
-    def _raw_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of Latin letters, with or without a space before."""
+    def _raw_parts(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of pieces that are one part of the byte-level pattern each."""
         out: list[bytes] = []
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            lines = "\n".join(some).encode().decode("latin-1").translate(self.letters)
-            done = self.words.encode(lines, add_special_tokens=False)
-            raw = np.array(done.ids, self.dtype).tobytes()
-            ends = np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(some)), "right") * self.width
-            out += self._parts(raw, ends)
+        tokenize = self.model.tokenize
+        for at in range(0, len(parts), 2000):
+            some = parts[at : at + 2000]
+            lines = b"\n".join(some).decode("latin-1")
+            for c in self.letters.keys() & set(lines):
+                lines = lines.replace(c, self.letters[c])
+            ids = np.array([t.id for line in lines.split("\n") for t in tokenize(line)], np.int64)
+            out += self._split(ids, np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(list(map(len, some))), "right"))
         return out
 
-    def _parts(self, raw: bytes, ends: np.ndarray) -> list[bytes]:
-        ends = ends.tolist()
+    def _split(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        raw, ends = ids.astype(self.dtype).tobytes(), (ends * self.width).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _text(self, pieces: list[bytes]) -> bytes:
-        """Of the pieces of a text, the first of which began with a line end."""
-        return b"".join(pieces)[len(self.line_end) :]
+    def _texts(self, known: list[bytes | None], numbers: np.ndarray, spans: list[np.ndarray]) -> list[bytes]:
+        """Of texts given by their first pieces and the ones after their last."""
+        ids = pa.array(known, pa.large_binary()).take(pa.array(numbers))
+        ends, raw = np.frombuffer(ids.buffers()[1], np.int64), ids.buffers()[2].to_pybytes()
+        return [raw[a:b] for a, b in zip(*[ends[s].tolist() for s in spans])]
 
     def _lines(self, lines: list[list[bytes]]) -> bytes:
         return self.line_end.join(map(b"".join, lines))
@@ -125,34 +155,61 @@ class Encoder:
         collects = gc.isenabled()
         gc.disable()  # the many short lists below hold no cycles
         try:
-            return [ids for at in range(0, len(texts), 256) for ids in self._some(texts[at : at + 256])]
+            out, some, size = [], [], 0
+            for text in texts:
+                some.append(text)
+                size += len(text)
+                if size >= RUN_CHARS:
+                    out += self._some(some)
+                    some, size = [], 0
+            return out + (self._some(some) if some else [])
         finally:
             if collects:
                 gc.enable()
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        pieces: list[str] = []
-        ends = [0]
-        for text in texts:
-            pieces += ("\n" + text).replace("\n", " \n")[1:].split(" ")
-            ends.append(len(pieces))
+        raw = [t.encode() for t in texts]
+        starts = np.cumsum([1, *[len(t) + 1 for t in raw]])
+        data = b"\n".join([b"", *raw, b""])
+        del raw
+        at, spaced = self._cut(data)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        names, numbers = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
         if self.held > self.limit:
             self.old, self.new, self.held = self.new, {}, 0
-        ids = list(map(self.new.get, pieces))
-        absent = list(compress(range(len(ids)), map(not_, ids)))
+        known = list(map(self.new.get, names))
+        absent = [i for i, ids in enumerate(known) if ids is None]
         if absent:
-            self._learn({pieces[i] for i in absent})
-            known = self.new.get
+            self._learn([names[i] for i in absent])
             for i in absent:
-                ids[i] = known(pieces[i])
-        out = []
-        for text, a, b in zip(texts, ends, ends[1:]):
-            try:
-                out.append(self._text(ids[a:b]))
-            except TypeError:  # a piece beside other white space
-                out.append(self._spaced(text))
+                known[i] = self.new.get(names[i])
+            unknown = [i for i in absent if known[i] is None]
+            if unknown:  # pieces beside other white space
+                spaced = np.concatenate([spaced, at[:-1][np.isin(numbers, unknown)]])
+        spans = [np.searchsorted(at, starts[:-1]), np.searchsorted(at, starts[1:] - 1)]
+        out = self._texts(known, numbers, spans)
+        for i in np.unique(np.searchsorted(starts, spaced, "right") - 1).tolist():
+            if 0 <= i < len(texts):
+                out[i] = self._spaced(texts[i])
         return out
 
+    def _cut(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces begin, with the end of all; and the places of white space after white space."""
+        kinds = np.frombuffer(data.translate(self.kinds), np.uint8)
+        begins = kinds[1:] != kinds[:-1]
+        begins &= kinds[:-1] != _SPACE_KIND
+        white = kinds >= _SPACE_KIND
+        other = np.flatnonzero(kinds == _OTHER)
+        if len(other):  # their words are whole pieces
+            ends = np.flatnonzero(white)
+            after = np.unique(np.searchsorted(ends, other))
+            inside = np.zeros(len(data) + 1, np.int8)
+            inside[ends[after - 1] + 2] += 1
+            inside[ends[after]] -= 1
+            begins &= np.cumsum(inside, dtype=np.int8)[1:-1] == 0
+        at = np.concatenate([[0], np.flatnonzero(begins) + 1, [len(data)]])
+        return at, np.flatnonzero(white[1:] & white[:-1]) + 1
+
     def _spaced(self, text: str) -> bytes:
         """Ids of a text with white space side by side; it is cut only where both neighbours are no white space."""
         lines = [_SPACE.split(line) for line in _LINE_END.split(text)]
@@ -161,36 +218,29 @@ class Encoder:
         ids = dict(zip(names, self._raw(names)))
         return self._lines([[ids[("" if i == 0 else " ") + p] for i, p in enumerate(line)] for line in lines])
 
-    def _learn(self, wanted: set[str]) -> None:
-        """Puts the ids of pieces into ``new``; marks after a word are looked up apart from it.
+    def _learn(self, wanted: list[bytes]) -> None:
+        """Puts the ids of pieces into ``new``.
 
-        Pieces without a word or with white space at an end stay out: their ids
+        Pieces of white space or with white space at an end stay out: their ids
         depend on what stands beside them.
         """
         self.held += sum(map(len, wanted)) * 2 + self.piece_bytes * len(wanted)
-        kept = wanted & self.old.keys()
-        self.new.update((p, self.old[p]) for p in kept)
-        ended, words, others = [], [], []
-        for p in wanted - kept:
-            m = _WORD_AND_MARKS.fullmatch(p)
-            if not m:
-                body = p[1:] if p[:1] == "\n" else p
-                if body and not body[0].isspace() and not body[-1].isspace():
-                    others.append(p)
-            elif m[3]:
-                ended.append((p, m[1] + m[2], m[3]))
+        parts, others = [], []
+        for p in wanted:
+            ids = self.old.get(p)
+            if ids is not None:
+                self.new[p] = ids
+            elif not p.translate(None, self.plain):
+                if p[1:2] != b" ":
+                    parts.append(p)
+            elif p == b"\n":
+                self.new[p] = self.line_end
             else:
-                words.append(p)
-        words += {w for _, w, _ in ended if w not in self.new}.difference(words)
-        lines = [w for w in words if w[0] == "\n"]
-        after = [w for w in words if w[0] != "\n"]
-        self.new.update(zip(after, self._raw_words([" " + w for w in after])))
-        self.new.update((w, self.line_end + x) for w, x in zip(lines, self._raw_words([w[1:] for w in lines])))
-        raw = self._raw([p[1:] if p[0] == "\n" else " " + p for p in others])
-        self.new.update((p, self.line_end + x if p[0] == "\n" else x) for p, x in zip(others, raw))
-        marks = list({m for _, _, m in ended})
-        ids = dict(zip(marks, self._raw(marks)))
-        self.new.update((p, self.new[w] + ids[m]) for p, w, m in ended)
+                body = p.removeprefix(b" ").decode()
+                if not body[0].isspace() and not body[-1].isspace():
+                    others.append(p)
+        self.new.update(zip(parts, self._raw_parts(parts)))
+        self.new.update(zip(others, self._raw([p.decode() for p in others])))
 
 
 class TokenCounter(Encoder):
@@ -201,11 +251,12 @@ class TokenCounter(Encoder):
     def _raw(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, raw: bytes, ends: np.ndarray) -> list[int]:
-        return (np.diff(ends, prepend=0) // self.width).tolist()
+    def _split(self, ids: np.ndarray, ends: np.ndarray) -> list[int]:
+        return np.diff(ends, prepend=0).tolist()
 
-    def _text(self, pieces: list[int]) -> int:
-        return sum(pieces) - self.line_end
+    def _texts(self, known: list[int | None], numbers: np.ndarray, spans: list[np.ndarray]) -> list[int]:
+        ends = np.concatenate([[0], np.cumsum(np.array([n or 0 for n in known])[numbers])])
+        return (ends[spans[1]] - ends[spans[0]]).tolist()
 
     def _lines(self, lines: list[list[int]]) -> int:
         return sum(map(sum, lines)) + self.line_end * (len(lines) - 1)

@@ -17,6 +17,7 @@ there are.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import map_batches, some, utf8
-from quillframe.llm.encode import encoder, texts_of
+from quillframe.llm.encode import RUN_CHARS, Encoder, encoder, texts_of
 from quillframe.llm.mph import MinimalPerfectHash, key_hashes
 
 #: Ids in a block of the payload; a longer document is a block of its own.
@@ -55,6 +56,21 @@ def _block(shard: int, block: int, width: int, keys: list, ids: list[bytes]) ->
     return pa.RecordBatch.from_pylist([row], schema)
 
 
+def _encoded(enc: Encoder, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str | None, bytes]]:
+    """Each key with the raw ids of its text; the texts of several batches are encoded at once."""
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        for at, part in some(batch.column(1)):
+            keys += names[at : at + len(part)]
+            texts += texts_of(part)
+            size += part.nbytes
+            if size >= RUN_CHARS:
+                yield from zip(keys, enc.encode(texts))
+                keys, texts, size = [], [], 0
+    yield from zip(keys, enc.encode(texts))
+
+
 def write_payload(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
@@ -64,17 +80,14 @@ def write_payload(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         enc = encoder(tokenizer, sent.value)
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         shard, block, keys, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for at, texts in some(batch.column(1)):
-                for key, raw in zip(names[at:], enc.encode(texts_of(texts))):
-                    raw += end
-                    if keys and size + len(raw) > BLOCK_IDS * enc.width:
-                        yield _block(shard, block, enc.width, keys, ids)
-                        block, keys, ids, size = block + 1, [], [], 0
-                    keys.append(key)
-                    ids.append(raw)
-                    size += len(raw)
+        for key, raw in _encoded(enc, batches):
+            raw += end
+            if keys and size + len(raw) > BLOCK_IDS * enc.width:
+                yield _block(shard, block, enc.width, keys, ids)
+                block, keys, ids, size = block + 1, [], [], 0
+            keys.append(key)
+            ids.append(raw)
+            size += len(raw)
         if keys:
             yield _block(shard, block, enc.width, keys, ids)
 

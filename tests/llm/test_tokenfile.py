@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,6 +42,48 @@ def test_encoder_equals_library_on_any_text(text):
     assert COUNTED.encode([text]) == [len(want)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["été", "ß", "×", "÷", "«", "'ll", "l'", "’s", "x9", "24", ".,", "#$", "<|", "<|endoftext|>", "日本", "\x00", "\x85", "\t", "\n", " ", " ", " "]), max_size=12), max_size=6))
+def test_encoder_cuts_inside_words_as_the_library(parts):
+    texts = ["".join(p) for p in parts]
+    want = [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids(raw) for raw in CACHED.encode(texts)] == want
+    assert COUNTED.encode(texts) == [len(w) for w in want]
+
+
+@pytest.mark.parametrize("kind", [Encoder, TokenCounter])
+def test_equal_pieces_are_looked_up_and_remembered_once(kind):
+    class Asked(dict):
+        n = 0
+
+        def get(self, *args):
+            self.n += 1
+            return super().get(*args)
+
+    enc = kind(PATH)
+    enc.new = Asked()
+    text = " ".join(f"{word}{marks}" for word in ("alpha", "beta", "gamma") for marks in ("", ".", ",", "!?", "###", "42") for _ in range(50))
+    assert enc.encode([text] * 20) == kind(PATH, cache_bytes=1).encode([text] * 20)
+    # the words with and without a space before, five kinds of marks and numbers, line ends; 18,000 words in all
+    assert len(enc.new) <= 12 and enc.new.n <= 40
+
+
+def test_texts_of_several_batches_are_encoded_at_once(monkeypatch):
+    monkeypatch.setattr(tokenfile, "RUN_CHARS", 100)
+    texts = [b"a b" * (i % 40) for i in range(60)]
+    batches = [pa.record_batch({"key": [f"{i}" for i in range(at, at + 5)], "text": texts[at : at + 5]}) for at in range(0, 60, 5)]
+    calls = []
+
+    class Spy:
+        def encode(self, texts):
+            calls.append(len(texts))
+            return CACHED.encode(texts)
+
+    got = list(tokenfile._encoded(Spy(), batches))
+    assert got == list(zip([f"{i}" for i in range(60)], CACHED.encode([t.decode() for t in texts])))
+    assert max(calls) > 5 and len(calls) > 3
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 5000])
 def test_minimal_perfect_hash(n):
     keys = [f"k{i}".encode() for i in range(n)]
